@@ -4,14 +4,13 @@ The keys that could ever be asked for are known: every host suffix with every pa
 over all urls of the corpus. Level one of a cascade encodes the listed keys; level two the keys of that universe
 which level one lets through wrongly; level three the listed keys that level two catches, and so on until a
 level lets nothing through wrongly. A key is listed if the first level that rejects it is an even one
-(counting from one), so membership is exact over the universe, and urls are judged without a join.
+(counting from one) or, at an odd number of levels, if none does, so membership is exact over the universe, and urls are judged without a join.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,12 @@ def candidates(host, path, lengths):
     """All keys a listed key could equal: longest first, of equal lengths the longer host first."""
     parts = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = [F.when(F.length(path) >= n, F.transform(hosts, lambda h, n=n: F.struct((-F.length(h) - n).alias("l"), (-F.length(h)).alias("lh"), F.concat(h, F.substring(path, 1, n)).alias("key")))).otherwise(F.array().cast("array<struct<l:int,lh:int,key:string>>")) for n in sorted(lengths)]
+
+    def with_prefix(n):
+        return F.transform(hosts, lambda h: F.struct((-F.length(h) - n).alias("l"), (-F.length(h)).alias("lh"), F.concat(h, F.substring(path, 1, n)).alias("key")))
+
+    none = F.array().cast("array<struct<l:int,lh:int,key:string>>")
+    keys = [F.when(F.length(path) >= n, with_prefix(n)).otherwise(none) for n in sorted(lengths)]
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(F.flatten(F.array(*keys))), lambda x: x["key"]))
 
 
@@ -75,53 +79,60 @@ def member(h1, h2, levels):
 class Cascade:
     """Exact membership of `listed` over `universe` (h1, h2 long columns: hashes of distinct keys).
 
-    Its size is that of the listed keys: about 1.44 log2(universe / listed) bits a key at level one and
-    a geometric rest. max_bytes bounds what is gathered and broadcast; above it building fails with
-    OverflowError, and filter_urls takes a shuffled semi join in its place.
+    Level one is about 1.44 log2(universe / listed) bits a listed key, and lets through about 1.4 wrong keys a
+    listed key whatever the universe's size; the rest is geometric. So all that is gathered and broadcast is
+    bounded by the list: max_bytes is checked before, and above it building fails with OverflowError, for which
+    filter_urls takes a shuffled join in its place.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame, max_bytes: int = common.BROADCAST_BYTES):
-        keys = ["h1", "h2"]
-        r, s = listed.count(), universe.count()
-        ins, outs, self.levels = listed, universe.join(listed, keys, "left_anti"), []
-        n, others = r, s
-        while n:
-            p = min(0.5, n * math.sqrt(2) / max(1, others)) if not self.levels else 0.5
-            bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2 / 64) * 64)
-            if bits // 8 + sum(x[0] // 8 for x in self.levels) > max_bytes:
-                raise OverflowError("the listed keys need more than max_bytes of filters")
-            level = self._encode(ins, len(self.levels), bits, max(1, round(bits / n * math.log(2))))
+        n, s = listed.count(), universe.count()
+        self.levels = []
+        if not n:
+            return
+        bits, hashes = self._size(n, min(0.5, n * math.sqrt(2) / max(1, s)))
+        if bits // 8 + 16 * n > max_bytes:
+            raise OverflowError("the listed keys need more than max_bytes")
+        ins = self._gather(listed)
+        self.levels.append(self._encode(*ins, 0, bits, hashes))
+        test = self._test(universe.sparkSession, self.levels[0])
+        wrong = universe.where(test("h1", "h2")).join(listed, ["h1", "h2"], "left_anti")
+        if 16 * (many := wrong.count()) > max_bytes:
+            raise OverflowError(f"{many} wrong keys pass level one")
+        outs = self._gather(wrong)
+        while len(outs[0]):
             i = len(self.levels)
-            self.levels.append(level)
-            wrong = outs.where(self._test(outs.sparkSession, i, level)("h1", "h2"))
-            wrong = common.materialise(wrong, "cascade")
-            ins, outs, n, others = wrong, ins, wrong.count(), n
-            if i > 200:
+            ins, outs = outs, ins
+            self.levels.append(self._encode(*ins, i, *self._size(len(ins[0]), 0.5)))
+            ok = _passes(*outs, i, self.levels[-1])
+            outs = outs[0][ok], outs[1][ok]
+            if i > 500:
                 raise ArithmeticError("two keys have equal hashes")
 
     @staticmethod
-    def _encode(df, level, bits, hashes):
-        def run(batches):
-            data = np.zeros(bits // 64, np.uint64)
-            for b in batches:
-                h = [b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)]
-                for p in _positions(*h, level, bits, hashes):
-                    np.bitwise_or.at(data, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-            at = np.flatnonzero(data)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(data[at].view(np.int64))], ["i", "w"])
+    def _size(n, p):
+        bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2 / 64) * 64)
+        return bits, min(24, max(1, round(bits / n * math.log(2))))
 
+    @staticmethod
+    def _gather(df):
+        t = df.select("h1", "h2").toArrow()
+        return tuple(t[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+
+    @staticmethod
+    def _encode(h1, h2, level, bits, hashes):
         data = np.zeros(bits // 64, np.uint64)
-        rows = df.select("h1", "h2").mapInArrow(run, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
-        data[rows["i"].to_numpy()] = rows["w"].to_numpy().view(np.uint64)
+        for p in _positions(h1, h2, level, bits, hashes):
+            np.bitwise_or.at(data, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
         return bits, hashes, data
 
     @staticmethod
-    def _test(spark, level, words):
+    def _test(spark, words):
         shared = spark.sparkContext.broadcast(words)
 
         @F.pandas_udf("boolean")
         def test(h1: pd.Series, h2: pd.Series) -> pd.Series:
-            return pd.Series(_passes(h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64), level, shared.value))
+            return pd.Series(_passes(h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64), 0, shared.value))
 
         return test
 
@@ -143,7 +154,7 @@ def filter_urls(pages: DataFrame, rules=RULES, listed=LISTED, id_column: str = "
     sets = {"block": sorted({h + p for h, p, v in rules if v == "block"}), "allow": sorted({h + p for h, p, v in rules if v == "allow"}), "listed": sorted(set(listed))}
     lengths = {len(p) for _, p, _ in rules} | {0}
     host, path = parse(F.col("url").cast("string"))
-    urls = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
+    urls = common.materialise(pages.select(F.col(id_column), host.alias("host"), path.alias("path")), "urls")
     urls = urls.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
     h1, h2 = _hashes(F.col("key"))
     universe = common.materialise(urls.select(F.explode("keys").alias("key")).distinct().select(h1.alias("h1"), h2.alias("h2")), "universe")
