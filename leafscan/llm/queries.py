@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, simhash_neardup, url_filter, weighted_fingerprint
+from . import line_dedup, quality, sentencepiece_codec, simhash_neardup, url_filter, weighted_fingerprint
 
 
 def _docs(spark, sf_dir):
@@ -13,6 +13,10 @@ def op4_weighted_fingerprint(spark, sf_dir):
     return weighted_fingerprint.edited_fingerprints(_docs(spark, sf_dir))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_decode(_docs(spark, sf_dir), digest=True)
 
@@ -21,16 +25,22 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_removed").alias("n_removed"), F.col("_l_runs").alias("n_runs"), F.md5("_l_text").alias("kept_md5"))
+
+
 def op10_simhash_neardup(spark, sf_dir):
     found = simhash_neardup.near_duplicates(_docs(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_weighted_fingerprint, op6_sentencepiece, op8_url_filter, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
 
 _LISTED = ", ".join(f"'{h}'" for h in url_filter.LISTED)
 
 ORACLES = {
+    "op9_line_dedup": line_dedup.ORACLE,
     "op8_url_filter": f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
