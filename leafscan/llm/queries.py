@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, sentencepiece_codec, simhash_neardup, url_filter, weighted_fingerprint
+from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash_neardup, url_filter, weighted_fingerprint
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_weighted_fingerprint(spark, sf_dir):
     return weighted_fingerprint.edited_fingerprints(_docs(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op10_simhash_neardup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
 
 _LISTED = ", ".join(f"'{h}'" for h in url_filter.LISTED)
 
