@@ -96,3 +96,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         table = materialise(_star_step(_star_step(table, True), False), "edges")
         release(old)
     return table.select(F.col("u").alias("node"), F.col("v").alias("component")).union(table.select("v", "v").distinct())
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each lower-cased word (white space apart) occurs in all of docs."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("w")).where("w <> ''")
+    return words.groupBy("w").agg(F.count("*").alias("n"))

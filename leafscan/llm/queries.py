@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash_neardup, url_filter, weighted_fingerprint
+from . import decontaminate, line_dedup, lm_score, quality, sentencepiece_codec, simhash_neardup, toxicity, url_filter, weighted_fingerprint
 
 
 def _docs(spark, sf_dir):
@@ -13,6 +13,14 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm_score.score(_docs(spark, sf_dir))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_weighted_fingerprint(spark, sf_dir):
     return weighted_fingerprint.edited_fingerprints(_docs(spark, sf_dir))
 
@@ -39,7 +47,7 @@ def op10_simhash_neardup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_toxicity, op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
 
 _LISTED = ", ".join(f"'{h}'" for h in url_filter.LISTED)
 
