@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, quality, sentencepiece_codec, simhash_neardup, toxicity, url_filter, weighted_fingerprint
+from . import decontaminate, line_dedup, lm_score, quality, sentencepiece_codec, simhash_neardup, suffix_dedup, toxicity, url_filter, weighted_fingerprint
 
 
 def _docs(spark, sf_dir):
@@ -33,6 +33,10 @@ def op6_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_decode(_docs(spark, sf_dir), digest=True)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(_docs(spark, sf_dir), digest=True)
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
@@ -47,7 +51,7 @@ def op10_simhash_neardup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_toxicity, op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_toxicity, op4_weighted_fingerprint, op5_quality, op6_sentencepiece, op7_suffix_dedup, op8_url_filter, op9_line_dedup, op10_simhash_neardup)}
 
 _LISTED = ", ".join(f"'{h}'" for h in url_filter.LISTED)
 
