@@ -122,4 +122,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     marked = docs.withColumn("_d_rid", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     keyed = marked.select(F.col("_d_rid").alias("doc_id"), "text")
     bad = common.materialise(find(keyed, benchmark, threshold).select(F.col("doc_id").alias("_d_rid")).distinct(), "leaks")
-    return marked.join(bad, "_d_rid", "left_anti").select(*docs.columns)
+    return marked.join(bad.hint("merge"), "_d_rid", "left_anti").select(*docs.columns)
