@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     runs = common.materialise(later_runs(docs, min_lines).select(F.col("rid").alias("_l_rid"), F.col("runs").alias("_l_r")), "later")
-    rows = docs.withColumn("_l_rid", F.xxhash64("doc_id", text)).join(runs, "_l_rid", "left").withColumn("_l_all", F.split(text, "\n"))
+    rows = docs.withColumn("_l_rid", F.xxhash64("doc_id", text)).join(runs.hint("merge"), "_l_rid", "left").withColumn("_l_all", F.split(text, "\n"))
     none = F.array().cast("array<struct<from:int,to:int>>")
     r, n = F.coalesce("_l_r", none), F.size("_l_all")
     kept = F.flatten(
