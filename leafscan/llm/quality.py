@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -40,7 +41,7 @@ def features(text: str | None) -> list[float]:
     return low + [distinct, min(1.0, distinct * math.sqrt(many) / 10), min(3.0, (n - share(_SPACE) * n) / many / 10), math.log1p(many) / 10, len(set(lines)) / len(lines), 0.0]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _features(texts: pd.Series) -> pd.Series:
     return texts.map(features)
 
