@@ -3,11 +3,12 @@
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Dialect
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _distance_utf16(a: pd.Series, b: pd.Series) -> pd.Series:
     def distance(x, y):
         x, y = (memoryview((t or "").encode("utf-16-le")).cast("H").tolist() for t in (x, y))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import Dialect
 
-_ROWS = W.partitionBy("page").orderBy("y")
+
+def _rows():
+    return W.partitionBy("page").orderBy("y")
 
 
 def profile(mask: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def smooth(rows: DataFrame, k: int, how: str) -> DataFrame:
     if k <= 1:
         return rows.withColumn("s", F.col("ink").cast("double"))
     half = k // 2
-    frame = _ROWS.rowsBetween(-half, (k - 1) // 2 if how == "true_k" else half)
+    frame = _rows().rowsBetween(-half, (k - 1) // 2 if how == "true_k" else half)
     return rows.withColumn("s", F.avg("ink").over(frame) if how == "visited" else (F.sum("ink").over(frame) / k).cast("double"))
 
 
@@ -34,7 +36,7 @@ def threshold(smoothed: DataFrame, ratio: float = 0.05, of: str = "mean") -> Dat
 
 def runs(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """(page, r0, r1): unbroken rows whose raw ink is over the page's limit; none without one."""
-    over = rows.join(limits, "page").where("ink > t").withColumn("island", F.col("y") - F.row_number().over(_ROWS))
+    over = rows.join(limits, "page").where("ink > t").withColumn("island", F.col("y") - F.row_number().over(_rows()))
     return over.groupBy("page", "island").agg(F.min("y").cast("int").alias("r0"), (F.max("y") + 1).cast("int").alias("r1")).drop("island")
 
 

@@ -8,13 +8,12 @@ import tempfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ContractError, Dialect
 from ..operators import kernels
 from . import exif, png
 
-PAGE = "width int, height int, grey binary"
-
 
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
@@ -44,7 +43,10 @@ def decode_page(data: bytes):
     return kernels.grey(kernels.flatten(kernels.orient(image, exif.orientation(data))))
 
 
-@F.pandas_udf("width int, height int, grey binary, error string")
+_PAGE = T.StructType().add("width", "integer").add("height", "integer").add("grey", "binary").add("error", "string")
+
+
+@F.pandas_udf(_PAGE)
 def _decode(contents: pd.Series) -> pd.DataFrame:
     rows = []
     for data in contents:
@@ -56,7 +58,7 @@ def _decode(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["width", "height", "grey", "error"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def orientation(contents: pd.Series) -> pd.Series:
     return contents.map(exif.orientation).astype("int32")
 
