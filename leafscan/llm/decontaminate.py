@@ -89,14 +89,16 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     hinted = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-    hits = _explode_shingles(rows, "w", "rid", "size").join(hinted(known), "s").select("rid", "size", "n", "pos")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
+    cut_up = rows.select("rid", words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
+    hits = _explode_shingles(cut_up, "w", "rid", "size").join(hinted(known), "s").select("rid", "size", "n", "pos")
     last = F.greatest(F.lit(0), F.col("size") - F.col("n"))
     starts = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("pos") - F.col("n") + SHINGLE)), F.least(last, F.col("pos")))
     windows = hits.select("rid", "n", F.explode(starts).alias("start")).distinct()
     spots = common.materialise(windows.groupBy("rid").agg(F.collect_list(F.struct("n", "start")).alias("spots")), "spots")
 
-    held = rows.join(spots, "rid").dropDuplicates(["rid"])
+    # texts are shuffled, not their words, which take twice the room; and by the same plan at every size
+    held = rows.join(spots.hint("merge"), "rid").dropDuplicates(["rid"]).withColumn("w", words(F.col("text")))
     cut = held.select("rid", "doc_id", "w", F.explode("spots").alias("x")).select("rid", "doc_id", F.col("x.n").alias("n"), F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
     keys = ["rid", "doc_id", "n", "start"]
     prints = common.materialise(_simhashes(_explode_shingles(cut, "w", *keys), keys), "windows")
