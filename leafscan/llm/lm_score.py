@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-VOCABULARY, CLASSES, HIDDEN, STRIDE, BATCH = 8192, 240, 24, 8, 512
+VOCABULARY, CLASSES, HIDDEN, STRIDE, BATCH = 8192, 240, 24, 8, 128
 SHAPES = 10  # classes of words outside the vocabulary, by length and by whether they are all letters
 OUTPUTS = CLASSES + SHAPES
 PAD = OUTPUTS
@@ -90,7 +90,7 @@ def _around(classes, at):
     return [classes[at + o] for o in (-2, -1, 1, 2)]
 
 
-def learn(w: np.ndarray, classes: np.ndarray, at: np.ndarray, state: list, rate: float = 0.004) -> None:
+def learn(w: np.ndarray, classes: np.ndarray, at: np.ndarray, state: list, rate: float = 0.01) -> None:
     """Adam steps on w, in place, over the words at the given places."""
     tables, out, bias = _parts(w)
     if not state:
