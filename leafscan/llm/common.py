@@ -46,14 +46,6 @@ def release(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does only once their handles are collected."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, over all tasks that it runs."""
     return sys.__dict__.setdefault("_leafscan_cache", {}).setdefault(name, {})

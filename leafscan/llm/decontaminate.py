@@ -27,12 +27,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _tuples(w: Column) -> Column:
-    """All runs of SHINGLE words, as structs."""
-    n = F.greatest(F.lit(0), F.size(w) - (SHINGLE - 1))
-    return F.arrays_zip(*[F.slice(w, F.lit(i + 1), n).alias(f"w{i}") for i in range(SHINGLE)])
-
-
 def _explode_shingles(df: DataFrame, w: str, *keep: str) -> DataFrame:
     """keep, pos, s, len: a row for each shingle; len is its weight."""
     named = df.select(*keep, *[F.slice(F.col(w), F.lit(i + 1), F.greatest(F.lit(0), F.size(w) - (SHINGLE - 1))).alias(f"w{i}") for i in range(SHINGLE)])

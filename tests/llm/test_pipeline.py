@@ -25,7 +25,7 @@ def fixture():
             text = docs[-1][1] + " more"
         docs.append((i, text, "en", f"s{i % 4}", len(text)))
         labels.append((i, int(not bad), 0))
-    docs.append((500, docs[5][1], "en", "s1", 0))
+    docs += [(500 + i, docs[5][1], "en", "s1", 0) for i in range(3)]
     return docs, labels, items
 
 
