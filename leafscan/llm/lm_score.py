@@ -9,6 +9,8 @@ trained in numpy where the documents are: every task runs over all its documents
 tasks' weights are averaged by the words that they learnt from, in a tree. So what is gathered grows with the input.
 """
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +72,7 @@ def _ids(texts, vocab) -> tuple[np.ndarray, np.ndarray]:
         sizes.append(len(ids))
         out.append(ids)
         out.append([-1, -1])
-    return np.fromiter((i for part in out for i in part), np.int32, 2 + sum(sizes) + 2 * len(sizes)), np.array(sizes)
+    return np.fromiter(chain.from_iterable(out), np.int32, 2 + sum(sizes) + 2 * len(sizes)), np.array(sizes)
 
 
 def _parts(w: np.ndarray):
