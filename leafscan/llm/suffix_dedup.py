@@ -28,7 +28,9 @@ from . import common
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, about, and of strips in one suffix array (one anchor's strips stay together).
-GROUP, ARRAY = 8 << 20, 2 << 20
+GROUP, ARRAY = 8 << 20, 1 << 20
+#: Bytes that anchors are sought in at once: what fits a core's cache.
+CHUNK = 256 << 10
 
 _U = np.uint64
 
@@ -230,6 +232,37 @@ def _joined(texts):
     return np.frombuffer(b"".join(texts) + bytes(LENGTH + 64), np.uint8), starts, starts + sizes
 
 
+def _all_anchors(texts, length):
+    """(hashes, text numbers, from, to): the anchors of texts with their strips, places counted in each text.
+
+    Runs over chunks; a long text is cut into pieces that overlap by a window less a byte, which may cut a strip in two but
+    leaves every window in one strip of its anchor.
+    """
+    out, pieces, held = [], [], 0
+
+    def flush():
+        data, starts, ends = _joined([texts[i][a : a + CHUNK + length - 1] for i, a in pieces])
+        place, h, lo, hi = anchors(data, starts, ends, length)
+        at = np.searchsorted(starts, place, side="right") - 1 if len(place) else place
+        number, offset = (np.array(x, np.int64) for x in zip(*pieces))
+        shift = (offset - starts)[at]
+        out.append((h, number[at], lo + shift, hi + shift))
+
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - length + 1), CHUNK):
+            if len(t) - a >= length:
+                pieces.append((i, a))
+                held += min(CHUNK, len(t) - a)
+                if held >= CHUNK:
+                    flush()
+                    pieces, held = [], 0
+    if pieces:
+        flush()
+    if not out:
+        return np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _split(buckets, many, *arrays):
     """(bucket, arrays of it as bytes) for each bucket there is."""
     order = np.argsort(buckets, kind="stable")
@@ -269,10 +302,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     grouped = rows.repartition("group")
 
     def find_anchors(keys, table):
-        data, starts, ends = _joined(table["text"].to_pylist())
-        ids = table["doc"].to_numpy()
-        place, h, _, _ = anchors(data, starts, ends, length)
-        doc = ids[np.searchsorted(starts, place, side="right") - 1] if len(place) else place
+        h, at, _, _ = _all_anchors(table["text"].to_pylist(), length)
+        doc = table["doc"].to_numpy()[at]
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
@@ -301,30 +332,26 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     def cut_strips(left, right):
         """A group's strips around repeated anchors: those of the least document by bucket, the others as covered."""
         texts, ids, names = left["text"].to_pylist(), left["doc"].to_numpy(), left["row"].to_numpy()
-        data, starts, ends = _joined(texts)
         known = [np.frombuffer(x, _U) for x in right["h"].to_pylist()]
-        place, h, lo, hi = anchors(data, starts, ends, length)
+        h, at, lo, hi = _all_anchors(texts, length)
         keep = np.flatnonzero(np.isin(h, np.concatenate(known))) if known else np.zeros(0, np.int64)
-        h, lo, hi, place = h[keep], lo[keep], hi[keep], place[keep]
-        at = np.searchsorted(starts, place, side="right") - 1 if len(place) else place
-        # equal strips: by anchor, by bytes; strips are at most 2 length - GRAM bytes
-        prints = np.fromiter((int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(lo, hi)), _U, len(lo))
-        doc = ids[at] if len(at) else at
-        order = np.lexsort((doc, prints, h))
-        first = np.r_[True, (h[order][1:] != h[order][:-1]) | (prints[order][1:] != prints[order][:-1])] if len(order) else np.zeros(0, bool)
-        least = doc[order][_begins(first)] if len(order) else doc
-        own = doc[order] == least
-        sent, covered = order[own], order[~own]
+        h, at, lo, hi = h[keep], at[keep], lo[keep], hi[keep]
+        cuts = [texts[i][a:b] for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())]
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(t, len(seen)) for t in cuts], np.int64)
+        doc = ids[at]
+        least = np.full(len(seen), biggest)
+        np.minimum.at(least, of, doc)
+        own = doc == least[of]
+        sent, covered = np.flatnonzero(own), np.flatnonzero(~own)
         group = left["group"][0].as_py() if left.num_rows else 0
         out = []
-        shift = starts[at] if len(at) else at
-        if len(covered):
-            out.append((-1, group, b"", names[at[covered]].tobytes(), (lo - shift)[covered].tobytes(), b"", (hi - lo)[covered].astype(np.int32).tobytes(), b""))
         size = (hi - lo).astype(np.int32)
-        buckets = (h % _U(many)).astype(np.int64)
-        for b, (bh, bn, bo, bd, bs, bi) in _split(buckets[sent], many, h[sent], names[at[sent]] if len(sent) else sent, (lo - shift)[sent], doc[sent], size[sent], sent):
-            text = b"".join(data[lo[i] : hi[i]].tobytes() for i in np.frombuffer(bi, np.int64))
-            out.append((b, group, bh, bn, bo, bd, bs, text))
+        if len(covered):
+            out.append((-1, group, b"", names[at[covered]].tobytes(), lo[covered].tobytes(), b"", size[covered].tobytes(), b""))
+        buckets = (h[sent] % _U(many)).astype(np.int64)
+        for b, (bh, bn, bo, bd, bs, bi) in _split(buckets, many, h[sent], names[at[sent]], lo[sent], doc[sent], size[sent], sent):
+            out.append((b, group, bh, bn, bo, bd, bs, b"".join([cuts[i] for i in np.frombuffer(bi, np.int64).tolist()])))
         return pa.Table.from_batches([_batch(out, ["bucket", "group", "h", "row", "lo", "doc", "size", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])])
 
     strips = common.materialise(grouped.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut_strips, "bucket int, group int, h binary, row binary, lo binary, doc binary, size binary, text binary"), "strips")
