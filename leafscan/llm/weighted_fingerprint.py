@@ -84,14 +84,15 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     ids = rows.groupBy("doc_id", "rid").agg(F.max(F.length("text").cast("long")).alias("n"))
     placed, n = order.positions(ids, F.col("doc_id").desc_nulls_last(), F.col("rid"))
     after = placed.select(F.pmod(F.col("position") - 1, F.lit(max(1, n))).alias("position"), F.col("rid").alias("next"))
-    chain = common.materialise(placed.join(after, "position").select("rid", "next", F.floor(F.col("n") / 3).cast("int").alias("k")), "chain")
-    whole = rows.dropDuplicates(["rid"])
-    heads = whole.select(F.col("rid").alias("next"), "text").join(chain, "next").select("rid", "k", F.left("text", "k").alias("head"))
-    both = whole.join(heads, "rid").withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("k")), "head"))
+    chain = common.materialise(placed.join(after, "position").select("rid", "doc_id", "next", F.floor(F.col("n") / 3).cast("int").alias("k")), "chain")
+    # each use of the texts takes the same two columns, so that Spark shuffles them once
+    whole = rows.select("rid", "text").dropDuplicates(["rid"])
+    heads = whole.select(F.col("rid").alias("next"), "text").join(chain.hint("merge"), "next").select("rid", "k", F.left("text", "k").alias("head"))
+    both = whole.join(heads.hint("merge"), "rid").withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("k")), "head"))
     kinds = both.select("rid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("rid", "x.kind", "x.text")
     of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("bin"), F.xxhash64("least").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("sample")))))
     signed = samples(kinds, ["rid", "kind"], bins).groupBy("rid").agg(of(0).alias("own"), of(1).alias("edited"))
-    facts = both.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = both.select("rid", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     table = common.materialise(facts.join(signed, "rid"), "signed")
-    nexts = table.join(chain.select("rid", "next"), "rid").join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")
+    nexts = table.join(chain.select("rid", "doc_id", "next"), "rid").join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")
     return nexts.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("own"), bins).alias("fingerprint"), text_form(F.col("edited"), bins).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))
