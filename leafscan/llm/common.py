@@ -46,6 +46,14 @@ def release(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs that are over; it does so once their handles are collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, over all tasks that it runs."""
     return sys.__dict__.setdefault("_leafscan_cache", {}).setdefault(name, {})

@@ -308,21 +308,23 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
         h, doc = h[order], doc[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
         low, high = doc[edge], doc[np.r_[edge[1:], len(h)] - 1] if len(h) else doc
-        sent = [(b, keys[0].as_py(), *x) for b, x in _split((h[edge] % _U(many)).astype(np.int64), many, h[edge], low, high)]
-        return pa.Table.from_batches([_batch(sent, ["bucket", "group", "h", "low", "high"], [pa.int32(), pa.int32(), *[pa.binary()] * 3])])
+        # one of the documents, and whether there are others
+        sent = [(b, keys[0].as_py(), *x) for b, x in _split((h[edge] % _U(many)).astype(np.int64), many, h[edge], low, low != high)]
+        return pa.Table.from_batches([_batch(sent, ["bucket", "group", "h", "doc", "more"], [pa.int32(), pa.int32(), *[pa.binary()] * 3])])
 
-    found = grouped.groupBy("group").applyInArrow(find_anchors, "bucket int, group int, h binary, low binary, high binary")
+    found = grouped.groupBy("group").applyInArrow(find_anchors, "bucket int, group int, h binary, doc binary, more binary")
 
     def resolve(table):
         """Which hashes of a bucket two documents have, told to each group that has them."""
         parts = [np.frombuffer(x, _U) for x in table["h"].to_pylist()]
         h = np.concatenate(parts)
-        low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in table[c].to_pylist()]) for c in ("low", "high"))
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["doc"].to_pylist()])
+        more = np.concatenate([np.frombuffer(x, bool) for x in table["more"].to_pylist()])
         group = np.repeat(table["group"].to_numpy(), [len(p) for p in parts])
         order = np.argsort(h, kind="stable")
-        h, low, high, group = h[order], low[order], high[order], group[order]
+        h, doc, more, group = h[order], doc[order], more[order], group[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        again = np.repeat(np.minimum.reduceat(low, edge) < np.maximum.reduceat(high, edge), np.diff(np.r_[edge, len(h)]))
+        again = np.repeat((np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)) | np.logical_or.reduceat(more, edge), np.diff(np.r_[edge, len(h)]))
         h, group = h[again], group[again]
         told = [(b, *x) for b, x in _split(group.astype(np.int64), many, h)]
         return pa.Table.from_batches([_batch(told, ["group", "h"], [pa.int32(), pa.binary()])])
@@ -351,17 +353,20 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             out.append((-1, group, b"", names[at[covered]].tobytes(), lo[covered].tobytes(), b"", size[covered].tobytes(), b""))
         buckets = (h[sent] % _U(many)).astype(np.int64)
         for b, (bh, bn, bo, bd, bs, bi) in _split(buckets, many, h[sent], names[at[sent]], lo[sent], doc[sent], size[sent], sent):
-            out.append((b, group, bh, bn, bo, bd, bs, b"".join([cuts[i] for i in np.frombuffer(bi, np.int64).tolist()])))
+            out.append((b, group, bh, bn, bo, bd, bs, pa.compress(b"".join([cuts[i] for i in np.frombuffer(bi, np.int64).tolist()]), codec="zstd", asbytes=True)))
         return pa.Table.from_batches([_batch(out, ["bucket", "group", "h", "row", "lo", "doc", "size", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])])
 
     strips = common.materialise(grouped.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut_strips, "bucket int, group int, h binary, row binary, lo binary, doc binary, size binary, text binary"), "strips")
 
+    common.drop_finished_shuffles(docs.sparkSession)
+
     def match(table):
         """Suffix arrays over the strips of a bucket; what each strip's document loses."""
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
         h, row, lo, doc, size = read("h", _U), read("row", np.int64), read("lo", np.int64), read("doc", np.int64), read("size", np.int32).astype(np.int64)
         group = np.repeat(table["group"].to_numpy(), [len(x) // 8 for x in table["h"].to_pylist()])
-        data = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
+        whole = [int(np.frombuffer(x, np.int32).sum()) for x in table["size"].to_pylist()]
+        data = np.frombuffer(b"".join([pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table["text"].to_pylist(), whole)]), np.uint8)
         begin = np.r_[0, np.cumsum(size)[:-1]]
         order = np.argsort(h, kind="stable")
         run = np.cumsum(size[order])
