@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_LINES = 2
+#: In the pipeline a repeated run of one line is deleted too, where the line has so many words.
+LONG_LINE = 50
 
 
 def _running(counts: DataFrame) -> DataFrame:
@@ -28,15 +30,15 @@ def _running(counts: DataFrame) -> DataFrame:
     return ranged.withColumn("inner", inner).join(F.broadcast(sums), "part").select("a", "b", "n", (F.col("start") + F.col("inner")).alias("before"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(rid, ord, pos, a, b): a row for each line of each document that differs in doc_id or text from all others.
+def line_table(docs: DataFrame, *extra) -> DataFrame:
+    """(rid, ord, pos, a, b, and extra columns of `line`): a row for each line of each document that differs in doc_id or text from all others.
 
     rid names the document, ord is its place in the order that decides which copy is the first (null last), and a, b
     are two hashes, together the line's ID.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("doc_id", text).alias("rid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.select("rid", "ord", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b")).distinct()
+    return lines.select("rid", "ord", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b"), *extra).distinct()
 
 
 def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
@@ -71,28 +73,39 @@ def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
     return ranked
 
 
-def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def later_long_lines(docs: DataFrame, long_line: int) -> DataFrame:
+    """(rid, pos): lines of long_line words or more that have an earlier copy; the members of a line's rank at depth one."""
+    words = F.size(F.array_remove(F.split("line", r"\s+"), ""))
+    lines = common.materialise(line_table(docs, (words >= long_line).alias("long")).where("long"), "long")
+    firsts = lines.groupBy("a", "b").agg(F.min(F.struct("ord", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return lines.join(firsts, ["a", "b"]).where(F.struct("ord", "rid", "pos") > F.col("first")).select("rid", "pos")
+
+
+def later_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int | None = None) -> DataFrame:
     """(rid, runs array of (from, to)): for each document the runs of lines to delete, apart and in order."""
     ranks = suffix_ranks(line_table(docs), min_lines)
     members = ranks.where((F.col("size") > 1) & (F.col("pos") + min_lines <= F.col("lines"))).select("rank", "ord", "rid", "pos")
     firsts = members.groupBy("rank").agg(F.min(F.struct("ord", "rid", "pos")).alias("first"))
     later = members.join(firsts, "rank").where(F.struct("ord", "rid", "pos") > F.col("first"))
-    covered = later.select("rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
+    covered = later.select("rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    if long_line is not None:
+        covered = covered.union(later_long_lines(docs, long_line))
+    covered = covered.distinct()
     islands = covered.withColumn("island", F.col("pos") - F.row_number().over(W.partitionBy("rid").orderBy("pos")))
     runs = islands.groupBy("rid", "island").agg(F.min("pos").alias("from"), (F.max("pos") + 1).alias("to"))
     return runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int | None = None) -> DataFrame:
     """docs with _l_text, _l_lines, _l_removed and _l_runs: the text without later copies, and counts.
 
     Lines end at line feeds; an empty or null text is one empty line. A run of min_lines lines or more that also begins at
     an earlier place (smaller doc_id, or earlier in the same document; null doc_ids come last, rows of one doc_id
-    in the order of a hash) is deleted; what is repeated is judged on the input. Rows equal in doc_id and text are one
+    in the order of a hash) is deleted, and with long_line a single such line of so many words or more; what is repeated is judged on the input. Rows equal in doc_id and text are one
     document and get the same result. Other columns are passed through; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = common.materialise(later_runs(docs, min_lines).select(F.col("rid").alias("_l_rid"), F.col("runs").alias("_l_r")), "later")
+    runs = common.materialise(later_runs(docs, min_lines, long_line).select(F.col("rid").alias("_l_rid"), F.col("runs").alias("_l_r")), "later")
     rows = docs.withColumn("_l_rid", F.xxhash64("doc_id", text)).join(runs.hint("merge"), "_l_rid", "left").withColumn("_l_all", F.split(text, "\n"))
     none = F.array().cast("array<struct<from:int,to:int>>")
     r, n = F.coalesce("_l_r", none), F.size("_l_all")

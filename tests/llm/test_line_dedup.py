@@ -54,3 +54,12 @@ def test_ties_nulls_and_nothing(spark):
     df = spark.createDataFrame([(None, "a\nb"), (5, "a\nb"), (5, "a\nb"), (6, "x\na\nb\ny")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r._l_text) for r in L.dedup_lines(df).collect()) == [(0, ""), (5, "a\nb"), (5, "a\nb"), (6, "x\ny")]
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_the_pipeline_deletes_later_copies_of_long_lines(spark, tmp_path):
+    import corpus_pipeline as P
+
+    passage, brief = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, f"e\n{brief}"), (5, f"{brief}\nf"), (6, f"{passage}\n{passage}\ng")]
+    got = {r.doc_id: r.text for r in P.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 3: "", 4: rows[3][1], 5: rows[4][1], 6: "g"}
