@@ -4,10 +4,8 @@ A document is a set of terms (lower-cased words) weighted by how often they occu
 variables that depend on the term alone: r and c of a Gamma(2, 1) distribution and b uniform. With
 t = floor(ln(weight) / r + b) the term's level is y = exp(r (t - b)) and its rank is a = c / (y exp(r)); the term
 of least rank is the sample, and two weighted sets have the same sample with a probability that equals their
-generalised Jaccard similarity, sum of minima over sum of maxima. Terms are first dealt into BINS bins by a
-hash, and a sample is drawn in each bin, so every term is evaluated once and not once a sample (64 evaluations a
-term take about ten times the budget in generated code; see README). Likeness is the share of equal samples
-among the bins that either document fills, so empty bins of short documents don't count.
+generalised Jaccard similarity, sum of minima over sum of maxima. SAMPLES independent draws are made, each over all
+terms and all as columns of one aggregate; likeness is the share of equal samples.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common, order
 
-BINS = 64
+SAMPLES = 64
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -23,51 +21,44 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def rank(term: Column, weight: Column) -> Column:
-    """ln a of a term (long) of a weight."""
-    x, y = F.xxhash64(F.lit("r"), term), F.xxhash64(F.lit("c"), term)
+def rank(term: Column, log_weight: Column, i: int) -> Column:
+    """ln a of a term (long) of a weight, in draw i."""
+    x, y = F.xxhash64(F.lit(2 * i), term), F.xxhash64(F.lit(2 * i + 1), term)
     r = -F.log(_uniform(x, 0, 20) * _uniform(x, 20, 20))
     c = -F.log(_uniform(y, 0, 30) * _uniform(y, 30, 30))
     b = _uniform(x, 40, 24)
-    return F.log(c) - r * (F.floor(F.log(weight) / r + b) - b + 1)
+    return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1)
 
 
-def samples(texts: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
-    """A row for each (keys, bin): its least rank. texts has keys and `text`; a text without words has the empty term.
+def samples(texts: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
+    """keys and `s`, the n samples, 31-bit digests of the least ranks. texts has keys and `text`; a text without words has the empty term.
 
     Nothing is shuffled where texts is already partitioned by some of the keys.
     """
     words = texts.select(*keys, (~F.col("text").rlike(r"\S")).alias("_none"), F.explode(F.split(F.lower("text"), r"\s+")).alias("_w")).where((F.col("_w") != "") | F.col("_none"))
-    terms = words.groupBy(*keys, F.xxhash64("_w").alias("_t")).agg(F.count("*").alias("_n"))
-    return terms.groupBy(*keys, F.pmod(F.xxhash64(F.lit("bin"), "_t"), F.lit(bins)).cast("int").alias("bin")).agg(F.min(rank(F.col("_t"), F.col("_n"))).alias("least"))
-
-
-def signature(bin_: str | Column = "bin", least: str | Column = "least") -> Column:
-    """Aggregate: a map-like array of (bin, sample) in the order of bins; samples are 31-bit digests of the least rank."""
-    return F.array_sort(F.collect_list(F.struct(F.col(bin_).alias("bin"), F.xxhash64(least).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("sample"))))
+    terms = words.groupBy(*keys, F.xxhash64("_w").alias("_t")).agg(F.log(F.count("*")).alias("_l"))
+    least = terms.groupBy(*keys).agg(*[F.min(rank(F.col("_t"), F.col("_l"), i)).alias(f"_s{i}") for i in range(n)])
+    return least.select(*keys, F.array(*[F.xxhash64(f"_s{i}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for i in range(n)]).alias("s"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated generalised Jaccard similarity of two signatures."""
-    equal = F.size(F.array_intersect(a, b))
-    filled = F.size(F.array_union(F.transform(a, lambda x: x["bin"]), F.transform(b, lambda x: x["bin"])))
-    return (equal / filled).cast("double")
+    return (F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)).cast("double")
 
 
-def text_form(sig: Column, bins: int = BINS) -> Column:
-    """A signature as a string: eight hex digits a bin, dashes for an empty bin."""
-    got = F.map_from_entries(sig)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.lower(F.lpad(F.hex(F.try_element_at(got, i).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), F.lit("--------"))), "")
+def text_form(sig: Column) -> Column:
+    """A signature as a string: eight hex digits a sample."""
+    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long")), 8, "0"))), "")
 
 
-def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
+def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint) of every distinct (doc_id, text); null texts count as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).dropDuplicates(["rid"])
-    return samples(rows, ["rid", "doc_id"], bins).groupBy("rid", "doc_id").agg(signature().alias("s")).select("doc_id", text_form(F.col("s"), bins).alias("fingerprint"))
+    return samples(rows, ["rid", "doc_id"], n).select("doc_id", text_form(F.col("s")).alias("fingerprint"))
 
 
-def edited_fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     The edited text has its last third replaced by the beginning of the next document's in descending order of
@@ -82,17 +73,17 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(doc_id, text).withColumn("rid", F.xxhash64("doc_id", "text"))
     ids = rows.groupBy("doc_id", "rid").agg(F.max(F.length("text").cast("long")).alias("n"))
-    placed, n = order.positions(ids, F.col("doc_id").desc_nulls_last(), F.col("rid"))
-    after = placed.select(F.pmod(F.col("position") - 1, F.lit(max(1, n))).alias("position"), F.col("rid").alias("next"))
+    placed, many = order.positions(ids, F.col("doc_id").desc_nulls_last(), F.col("rid"))
+    after = placed.select(F.pmod(F.col("position") - 1, F.lit(max(1, many))).alias("position"), F.col("rid").alias("next"))
     chain = common.materialise(placed.join(after, "position").select("rid", "doc_id", "next", F.floor(F.col("n") / 3).cast("int").alias("k")), "chain")
     # each use of the texts takes the same two columns, so that Spark shuffles them once
     whole = rows.select("rid", "text").dropDuplicates(["rid"])
     heads = whole.select(F.col("rid").alias("next"), "text").join(chain.hint("merge"), "next").select("rid", "k", F.left("text", "k").alias("head"))
     both = whole.join(heads.hint("merge"), "rid").withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("k")), "head"))
     kinds = both.select("rid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("rid", "x.kind", "x.text")
-    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("bin"), F.xxhash64("least").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("sample")))))
-    signed = samples(kinds, ["rid", "kind"], bins).groupBy("rid").agg(of(0).alias("own"), of(1).alias("edited"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("s")))
+    signed = samples(kinds, ["rid", "kind"], n).groupBy("rid").agg(of(0).alias("own"), of(1).alias("edited"))
     facts = both.select("rid", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     table = common.materialise(facts.join(signed, "rid"), "signed")
     nexts = table.join(chain.select("rid", "doc_id", "next"), "rid").join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")
-    return nexts.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("own"), bins).alias("fingerprint"), text_form(F.col("edited"), bins).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))
+    return nexts.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))

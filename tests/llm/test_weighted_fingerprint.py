@@ -43,6 +43,13 @@ def test_weights_matter_as_generalised_jaccard_says(spark):
     assert abs(sum(same) / 20 - 1 / 3) < 0.05
 
 
+def test_one_heavy_word_weighs_what_it_counts(spark):
+    pairs = [(2 * i + s, f"h{i} " * 1000 + " ".join(f"t{i}x{s}x{j}" for j in range(63))) for i in range(20) for s in (0, 1)]
+    got = {r.doc_id: r.fingerprint for r in S.fingerprints(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    same = [sum(got[2 * i][8 * b : 8 * b + 8] == got[2 * i + 1][8 * b : 8 * b + 8] for b in range(64)) / 64 for i in range(20)]
+    assert abs(sum(same) / 20 - 1000 / 1126) < 0.05
+
+
 def test_one_and_no_document(spark):
     one = S.edited_fingerprints(spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].doc_id is None
