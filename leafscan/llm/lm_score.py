@@ -5,7 +5,7 @@ place, are added, pass a tanh layer and give a softmax over word classes. A word
 network times its share of the class. Summed over all words this is the document's pseudo-log-likelihood.
 
 Vocabulary, classes, shares and the output's bias come from counts over all words of all documents. The network is
-trained in numpy where the documents are: every task runs over all its documents, learns from every STRIDE-th word, and the
+trained in numpy where the documents are: every task runs over all its documents, learns from every word (STRIDE = 1), and the
 tasks' weights are averaged by the words that they learnt from, in a tree. So what is gathered grows with the input.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-VOCABULARY, CLASSES, HIDDEN, STRIDE, BATCH = 8192, 240, 24, 8, 128
+VOCABULARY, CLASSES, HIDDEN, STRIDE, BATCH = 8192, 240, 24, 1, 128
+LARGE, EARLY = 1024, 256  # words of a batch after so many batches of BATCH
 SHAPES = 10  # classes of words outside the vocabulary, by length and by whether they are all letters
 OUTPUTS = CLASSES + SHAPES
 PAD = OUTPUTS
@@ -97,8 +98,10 @@ def learn(w: np.ndarray, classes: np.ndarray, at: np.ndarray, state: list, rate:
     tables, out, bias = _parts(w)
     if not state:
         state.extend([np.zeros_like(w), np.zeros_like(w), 0])
-    for b in range(0, len(at), BATCH):
-        p = at[b : b + BATCH]
+    b = 0
+    while b < len(at):
+        p = at[b : b + (BATCH if state[2] < EARLY else LARGE)]
+        b += len(p)
         around, target = _around(classes, p), classes[p]
         h = _hidden(tables, around)
         logits = h @ out + bias

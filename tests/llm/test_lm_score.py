@@ -70,6 +70,15 @@ def test_training_lowers_the_loss():
     assert L.score_ids(ids, w, of, share).mean() > before + 2
 
 
+def test_every_word_is_learnt_from(spark, monkeypatch):
+    tables, keep = [], L.common.materialise
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    words, cls, _, bias = L.vocabulary(docs)
+    monkeypatch.setattr(L.common, "materialise", lambda df, tag: tables.append(keep(df, tag)) or tables[-1])
+    L.train(docs, words, cls, bias)
+    assert tables[0].agg({"n": "sum"}).first()[0] == sum(len(t.split()) for _, t, _ in corpus(60))
+
+
 def test_odd_rows(spark):
     rows = L.score(spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (3, "q " * 50000, "x"), (3, "q " * 50000, "x")], SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 2), (1, 0), (2, 0), (3, 50000), (3, 50000)]
