@@ -48,12 +48,18 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), "text")
 
 
-def pairs(spark, sf_dir) -> DataFrame:
-    """(item_id, pred, truth): a benchmark item and its neighbour, where both are ASCII (DuckDB's distance counts bytes)."""
+def all_pairs(spark, sf_dir) -> DataFrame:
+    """(item_id, pred, truth): a benchmark item and its neighbour."""
     b = table(spark, sf_dir, "benchmark")
     after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("truth"))
+    return b.select("item_id", F.col("text").alias("pred")).join(after, "item_id")
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    """all_pairs where both are ASCII (DuckDB's distance counts bytes)."""
     plain = lambda c: F.octet_length(c) == F.length(c)
-    return b.select("item_id", F.col("text").alias("pred")).join(after, "item_id").where(plain("pred") & plain("truth"))
+    return all_pairs(spark, sf_dir).where(plain("pred") & plain("truth"))
+
 
 
 TWINS = {

@@ -374,3 +374,38 @@ def read_with_accuracy(spark, sf_dir):
     plain = lambda c: F.octet_length(c) == F.length(c)
     got = assemble.with_accuracy(read, truth, "page", DIALECTS["flat"]).where(F.col("truth").isNotNull() & plain("text") & plain("truth"))
     return got.withColumn("accuracy", F.round("accuracy", 6))
+
+
+# text metrics over all texts; no twins, as DuckDB's distance counts bytes. The queries above keep to ASCII, for theirs.
+
+
+def edit_distance_all(spark, sf_dir):
+    return A.all_pairs(spark, sf_dir).select("item_id", metrics.edit_distance(F.col("pred"), F.col("truth")).alias("distance"))
+
+
+def accuracy_all(spark, sf_dir):
+    return A.all_pairs(spark, sf_dir).select("item_id", F.round(metrics.accuracy(F.col("pred"), F.col("truth")), 6).alias("accuracy"))
+
+
+def accuracy_rounded_all(spark, sf_dir):
+    return A.all_pairs(spark, sf_dir).select("item_id", metrics.accuracy(F.col("pred"), F.col("truth"), DIALECTS["rust"]).alias("accuracy"))
+
+
+def cer_all(spark, sf_dir):
+    return A.all_pairs(spark, sf_dir).select("item_id", F.round(metrics.cer(F.col("pred"), F.col("truth")), 6).alias("cer"))
+
+
+def ab_by_tiles_all(spark, sf_dir):
+    p, t = F.col("pred"), F.col("truth")
+    rows = A.all_pairs(spark, sf_dir).select(metrics.tile_count(F.length(t), 64).alias("tiles"), metrics.cer(p, t).alias("a"), metrics.cer(t, p).alias("b"))
+    return assemble.ab_by_tiles(rows).withColumn("mean_a", F.round("mean_a", 6)).withColumn("mean_b", F.round("mean_b", 6))
+
+
+def read_with_accuracy_all(spark, sf_dir):
+    lines = A.lines(spark, sf_dir)
+    read = lines.where("line_no = 0").select("page", "text")
+    truth = lines.where("line_no = 1").select("page", F.col("text").alias("truth"))
+    return assemble.with_accuracy(read, truth, "page", DIALECTS["flat"]).where("truth is not null").withColumn("accuracy", F.round("accuracy", 6))
+
+
+UNTWINNED = {f.__name__: f for f in (edit_distance_all, accuracy_all, accuracy_rounded_all, cer_all, ab_by_tiles_all, read_with_accuracy_all)}
