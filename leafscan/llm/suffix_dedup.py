@@ -14,21 +14,24 @@ brought together in three steps:
    first bytes. Places whose common prefixes with their neighbours are `length` or longer hold one repeated string, and
    its least doc_id decides for all.
 
-Strips with what is covered in them then go back to the documents.
+Strips with what is covered in them then go back to the documents. All is one job, in which the texts are shuffled once.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, about, and of strips in one suffix array (one anchor's strips stay together).
 GROUP, ARRAY = 8 << 20, 1 << 20
+#: Groups to a bucket of anchors, and to one of strips: messages go from every group to every bucket, so there are fewer of these.
+TO_BUCKET, TO_ARRAYS = 16, 2
+#: What a row counts beside its bytes, so that empty texts too are dealt into bounded groups.
+ROW_BYTES = 64
 #: Bytes that anchors are sought in at once: what fits a core's cache.
 CHUNK = 256 << 10
 
@@ -263,14 +266,26 @@ def _all_anchors(texts, length):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _split(buckets, many, *arrays):
+def _split(buckets, *arrays):
     """(bucket, arrays of it as bytes) for each bucket there is."""
     order = np.argsort(buckets, kind="stable")
-    edges = np.searchsorted(buckets[order], np.arange(many + 1))
-    for i in range(many):
-        if edges[i] < edges[i + 1]:
-            part = order[edges[i] : edges[i + 1]]
-            yield i, [a[part].tobytes() for a in arrays]
+    found, edges = np.unique(buckets[order], return_index=True)
+    for i, part in zip(found.tolist(), np.split(order, edges[1:])):
+        yield i, [a[part].tobytes() for a in arrays]
+
+
+def _coded(h: np.ndarray, buckets: int):
+    """An anchor's bucket, and 31 further bits of its hash; anchors that these confuse are told apart by the suffix arrays."""
+    return (h % _U(buckets)).astype(np.int64), ((h // _U(buckets)) & _U(0x7FFFFFFF)).astype(np.uint32)
+
+
+def _numbers(row: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for each different (row, doc), the same in whatever order a group's rows come."""
+    order = np.lexsort((doc, row))
+    row, doc = row[order], doc[order]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(np.r_[False, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]) if len(order) else 0
+    return out
 
 
 def _batch(rows, names, kinds):
@@ -292,52 +307,55 @@ def _merged(doc, lo, hi):
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(group, row, doc_id, text binary) of docs and (group, row, lo, hi as int64 bytes): what is to be removed of each row."""
+    """(group, row, doc, text binary) of docs and (group, number, lo, hi as int32 bytes): what is to be removed of each row."""
     biggest = (1 << 63) - 1
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
     many = max(1, -(-total // GROUP))
+    buckets, heaps = -(-many // TO_BUCKET), -(-many // TO_ARRAYS)
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(F.pmod(key, F.lit(many)).cast("int").alias("group"), F.coalesce(F.col("doc_id").cast("long"), F.lit(biggest)).alias("doc"), key.alias("row"), text.alias("text"))
     grouped = rows.repartition("group")
 
     def find_anchors(keys, table):
+        """Each anchor once: the code, doubled, and whether two documents of the group have it."""
         h, at, _, _ = _all_anchors(table["text"].to_pylist(), length)
         doc = table["doc"].to_numpy()[at]
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else order
         low, high = doc[edge], doc[np.r_[edge[1:], len(h)] - 1] if len(h) else doc
-        # one of the documents, and whether there are others
-        sent = [(b, keys[0].as_py(), *x) for b, x in _split((h[edge] % _U(many)).astype(np.int64), many, h[edge], low, low != high)]
-        return pa.Table.from_batches([_batch(sent, ["bucket", "group", "h", "doc", "more"], [pa.int32(), pa.int32(), *[pa.binary()] * 3])])
+        bucket, code = _coded(h[edge], buckets)
+        sent = [(b, keys[0].as_py(), *x) for b, x in _split(bucket, (code << np.uint32(1)) | (low != high))]
+        return pa.Table.from_batches([_batch(sent, ["bucket", "group", "h"], [pa.int32(), pa.int32(), pa.binary()])])
 
-    found = grouped.groupBy("group").applyInArrow(find_anchors, "bucket int, group int, h binary, doc binary, more binary")
+    found = grouped.groupBy("group").applyInArrow(find_anchors, "bucket int, group int, h binary")
 
-    def resolve(table):
-        """Which hashes of a bucket two documents have, told to each group that has them."""
-        parts = [np.frombuffer(x, _U) for x in table["h"].to_pylist()]
+    def resolve(keys, table):
+        """Which anchors of a bucket two groups, or two documents of one, have; told to each group that has them."""
+        parts = [np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()]
         h = np.concatenate(parts)
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["doc"].to_pylist()])
-        more = np.concatenate([np.frombuffer(x, bool) for x in table["more"].to_pylist()])
         group = np.repeat(table["group"].to_numpy(), [len(p) for p in parts])
         order = np.argsort(h, kind="stable")
-        h, doc, more, group = h[order], doc[order], more[order], group[order]
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        again = np.repeat((np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)) | np.logical_or.reduceat(more, edge), np.diff(np.r_[edge, len(h)]))
-        h, group = h[again], group[again]
-        told = [(b, *x) for b, x in _split(group.astype(np.int64), many, h)]
-        return pa.Table.from_batches([_batch(told, ["group", "h"], [pa.int32(), pa.binary()])])
+        h, group = h[order], group[order]
+        code = h >> np.uint32(1)
+        edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[edge, len(h)])
+        again = np.repeat((size > 1) | np.logical_or.reduceat((h & np.uint32(1)) > 0, edge), size)
+        told = [(g, keys[0].as_py(), *x) for g, x in _split(group[again].astype(np.int64), code[again])]
+        return pa.Table.from_batches([_batch(told, ["group", "bucket", "h"], [pa.int32(), pa.int32(), pa.binary()])])
 
-    told = found.groupBy("bucket").applyInArrow(resolve, "group int, h binary")
+    told = found.groupBy("bucket").applyInArrow(resolve, "group int, bucket int, h binary")
 
     def cut_strips(left, right):
-        """A group's strips around repeated anchors: those of the least document by bucket, the others as covered."""
-        texts, ids, names = left["text"].to_pylist(), left["doc"].to_numpy(), left["row"].to_numpy()
-        known = [np.frombuffer(x, _U) for x in right["h"].to_pylist()]
+        """A group's strips around repeated anchors: those of the least document by bucket, the others as covered (without a text)."""
+        texts, ids = left["text"].to_pylist(), left["doc"].to_numpy()
+        names = _numbers(left["row"].to_numpy(), ids)
+        known = [(b << 31) | np.frombuffer(x, np.uint32).astype(np.int64) for b, x in zip(right["bucket"].to_pylist(), right["h"].to_pylist())]
         h, at, lo, hi = _all_anchors(texts, length)
-        keep = np.flatnonzero(np.isin(h, np.concatenate(known))) if known else np.zeros(0, np.int64)
-        h, at, lo, hi = h[keep], at[keep], lo[keep], hi[keep]
+        bucket, code = _coded(h, buckets)
+        keep = np.flatnonzero(np.isin((bucket << 31) | code, np.concatenate(known))) if known else np.zeros(0, np.int64)
+        (bucket, code), at, lo, hi = _coded(h[keep], heaps), at[keep], lo[keep], hi[keep]
         cuts = [texts[i][a:b] for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())]
         seen: dict[bytes, int] = {}
         of = np.array([seen.setdefault(t, len(seen)) for t in cuts], np.int64)
@@ -348,26 +366,28 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
         sent, covered = np.flatnonzero(own), np.flatnonzero(~own)
         group = left["group"][0].as_py() if left.num_rows else 0
         out = []
-        size = (hi - lo).astype(np.int32)
+        size, begin, name = (hi - lo).astype(np.int32), lo.astype(np.int32), names[at]
         if len(covered):
-            out.append((-1, group, b"", names[at[covered]].tobytes(), lo[covered].tobytes(), b"", size[covered].tobytes(), b""))
-        buckets = (h[sent] % _U(many)).astype(np.int64)
-        for b, (bh, bn, bo, bd, bs, bi) in _split(buckets, many, h[sent], names[at[sent]], lo[sent], doc[sent], size[sent], sent):
+            out.append((group % heaps, group, b"", name[covered].tobytes(), begin[covered].tobytes(), b"", size[covered].tobytes(), b""))
+        for b, (bh, bn, bo, bd, bs, bi) in _split(bucket[sent], code[sent], name[sent], begin[sent], doc[sent], size[sent], sent):
             out.append((b, group, bh, bn, bo, bd, bs, pa.compress(b"".join([cuts[i] for i in np.frombuffer(bi, np.int64).tolist()]), codec="zstd", asbytes=True)))
-        return pa.Table.from_batches([_batch(out, ["bucket", "group", "h", "row", "lo", "doc", "size", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])])
-
-    strips = common.materialise(grouped.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut_strips, "bucket int, group int, h binary, row binary, lo binary, doc binary, size binary, text binary"), "strips")
+        return pa.Table.from_batches([_batch(out, ["bucket", "group", "h", "number", "lo", "doc", "size", "text"], [pa.int32(), pa.int32(), *[pa.binary()] * 6])])
 
-    common.drop_finished_shuffles(docs.sparkSession)
+    strips = grouped.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut_strips, "bucket int, group int, h binary, number binary, lo binary, doc binary, size binary, text binary")
 
     def match(table):
         """Suffix arrays over the strips of a bucket; what each strip's document loses."""
-        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
-        h, row, lo, doc, size = read("h", _U), read("row", np.int64), read("lo", np.int64), read("doc", np.int64), read("size", np.int32).astype(np.int64)
-        group = np.repeat(table["group"].to_numpy(), [len(x) // 8 for x in table["h"].to_pylist()])
+        read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
+        plain = pc.equal(pc.binary_length(table["doc"]), 0)
+        covered, table = table.filter(plain), table.filter(pc.invert(plain))
+        told = []
+        for g, x, a, n in zip(*(covered[c].to_pylist() for c in ("group", "number", "lo", "size"))):
+            told.append((g, x, a, (np.frombuffer(a, np.int32) + np.frombuffer(n, np.int32)).tobytes()))
+        h, number, lo, doc, size = read("h", np.uint32), read("number", np.int32), read("lo", np.int32).astype(np.int64), read("doc", np.int64), read("size", np.int32).astype(np.int64)
+        group = np.repeat(table["group"].to_numpy(), [len(x) // 4 for x in table["h"].to_pylist()]).astype(np.int64)
         whole = [int(np.frombuffer(x, np.int32).sum()) for x in table["size"].to_pylist()]
         data = np.frombuffer(b"".join([pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table["text"].to_pylist(), whole)]), np.uint8)
-        begin = np.r_[0, np.cumsum(size)[:-1]]
+        begin = np.cumsum(size) - size
         order = np.argsort(h, kind="stable")
         run = np.cumsum(size[order])
         out = [[], [], [], []]
@@ -389,7 +409,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             # by strip: wholly covered where an equal strip has a smaller document, else where a string has one
             whole = np.flatnonzero(owners[of] < doc[part])
             out[0].append(group[part[whole]])
-            out[1].append(row[part[whole]])
+            out[1].append(number[part[whole]])
             out[2].append(lo[part[whole]])
             out[3].append((lo + size)[part[whole]])
             mine = np.flatnonzero(owners[of] == doc[part])
@@ -404,23 +424,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
                 last = np.r_[edge[1:], len(s)] - 1
                 who = part[mine[s[edge]]]
                 out[0].append(group[who])
-                out[1].append(row[who])
+                out[1].append(number[who])
                 out[2].append(lo[who] + t[edge])
                 out[3].append(lo[who] + t[last] + length)
         g, r, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        told = [(i, *x) for i, x in _split(g.astype(np.int64), many, r, a, b)]
-        return pa.Table.from_batches([_batch(told, ["group", "row", "lo", "hi"], [pa.int32(), *[pa.binary()] * 3])])
-
-    matched = strips.where("bucket >= 0").groupBy("bucket").applyInArrow(match, "group int, row binary, lo binary, hi binary")
-
-    def ends(batches):
-        for b in batches:
-            los, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
-            his = [(np.frombuffer(x, np.int64) + np.frombuffer(y, np.int32)).tobytes() for x, y in zip(los, sizes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(his, pa.binary())], ["group", "row", "lo", "hi"])
+        told += [(i, *x) for i, x in _split(g.astype(np.int64), r.astype(np.int32), a.astype(np.int32), b.astype(np.int32))]
+        return pa.Table.from_batches([_batch(told, ["group", "number", "lo", "hi"], [pa.int32(), *[pa.binary()] * 3])])
 
-    covered = strips.where("bucket < 0").select("group", "row", "lo", "size").mapInArrow(ends, "group int, row binary, lo binary, hi binary")
-    return grouped, matched.union(covered)
+    return grouped, strips.groupBy("bucket").applyInArrow(match, "group int, number binary, lo binary, hi binary")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -436,9 +447,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFr
     biggest = (1 << 63) - 1
 
     def cut(left, right):
-        ids, names, texts = left["doc"].to_pylist(), left["row"].to_numpy(), left["text"].to_pylist()
-        read = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right[c].to_pylist())])
-        row, lo, hi = _merged(read("row"), read("lo"), read("hi"))
+        ids, names, texts = left["doc"].to_pylist(), _numbers(left["row"].to_numpy(), left["doc"].to_numpy()), left["text"].to_pylist()
+        read = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int32) for x in right[c].to_pylist())])
+        row, lo, hi = _merged(read("number"), read("lo"), read("hi"))
         a, b = np.searchsorted(row, names), np.searchsorted(row, names, side="right")
         out = []
         for i, t in enumerate(texts):

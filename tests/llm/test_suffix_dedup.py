@@ -67,3 +67,28 @@ def test_ties_nulls_and_nothing(spark):
     rows = S.dedup(spark.createDataFrame([(1, t), (1, t), (1, t + "x"), (None, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 120), (1, 0), (1, 0), (1, 0)]
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_hot_anchors_and_empty_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    long = " ".join(word() for _ in range(2 * S.CHUNK // 6 + 9000))
+    assert len(long) > 2 * S.CHUNK
+    cut = S.CHUNK - 40  # a repeat that lies across two pieces
+    docs = [(1, long), (2, "head " + long[cut : cut + 200] + " tail"), (3, long[: S.CHUNK + 30][::-1] + long[2 * S.CHUNK - 100 :])]
+    hot = "one and the same sixteen bytes"
+    docs += [(10 + i, f"{word()} {word()} {word()} {word()} {hot} {word()} {word()} {word()} {word()} {i % 7}") for i in range(400)]
+    empty = [(10_000 + i, ["", None][i % 2]) for i in range(100_000)]
+    got = S.dedup(spark.createDataFrame(docs + empty, "doc_id long, text string"), digest=True).toPandas().set_index("doc_id")
+    want = slow(docs)
+    for d, x in want.items():
+        assert tuple(got.loc[d]) == x
+    assert len(got) == len(docs) + len(empty) and (got.loc[10_000:, "n_bytes"] == 0).all()
+
+
+def test_split_and_numbers():
+    b = np.array([900_000_007, 3, 3, 900_000_007])
+    assert [(i, np.frombuffer(x[0], np.int64).tolist()) for i, x in S._split(b, np.arange(4))] == [(3, [1, 2]), (900_000_007, [0, 3])]
+    row, doc = np.array([5, 1, 5, 5, -2]), np.array([1, 1, 2, 1, 9])
+    assert S._numbers(row, doc).tolist() == [2, 1, 3, 2, 0]
+    assert S._numbers(row[::-1], doc[::-1]).tolist() == [0, 2, 3, 1, 2]
