@@ -3,10 +3,13 @@
 A 64-bit fingerprint is cut into 32 segments of two bits; the vector of their bit counts moves by at most
 one per flipped bit, so Manhattan distance between count vectors is a lower bound of Hamming distance. Counts
 0, 1, 2 are held in unary (00, 01, 11), so that the whole vector is one long and the Manhattan distance is
-the bit count of an exclusive or. The range join runs on grids: the 32 coordinates are dealt into radius + 3
-groups; two vectors within the radius agree wholly in three groups at least, so the grids over every choice of
-three groups lose no pair, and a cell of each fixes half of the coordinates. Pairs from a cell pass the
-Manhattan bound, then the exact Hamming distance.
+the bit count of an exclusive or. The range join runs on grids: the 32 coordinates are dealt into radius + m
+groups; two vectors within the radius agree wholly in m groups at least, so the grids over every choice of
+m groups lose no pair, and a cell of each fixes a share m / (radius + m) of the coordinates. m grows with the number of
+fingerprints, so that cells stay small. Pairs from a cell pass the Manhattan bound, then the exact Hamming distance.
+
+Fingerprints within three bits are nearly equal texts only. Where links are asked for by similarity, links of this kind
+are where the search starts; `near_copies` finds the rest and verifies all by exact similarity.
 """
 
 from itertools import combinations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import cells, common
 
 SEGMENTS, RADIUS, SHINGLE, SEED = 32, 3, 3, 42
 
@@ -62,20 +65,32 @@ def embed(fp):
     return fp.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(odd), 1))
 
 
-def grids(radius: int = RADIUS) -> list[int]:
-    """A mask for each choice of three of radius + 3 groups of coordinates."""
-    parts = np.array_split(np.arange(SEGMENTS), radius + 3)
+def grids(radius: int = RADIUS, m: int = 3) -> list[int]:
+    """A mask for each choice of m of radius + m groups of coordinates."""
+    parts = np.array_split(np.arange(SEGMENTS), radius + m)
     masks = [sum(3 << (2 * int(s)) for s in p) for p in parts]
-    return [_signed(a | b | c) for a, b, c in combinations(masks, 3)]
+    return [_signed(sum(c)) for c in combinations(masks, m)]
+
+
+def groups_for(many: int) -> int:
+    """m by the number of fingerprints. A coordinate agrees by chance with probability 3/8; so for radius 3 a node meets few others by chance: 0.6 at 2^22 fingerprints with m = 3, 0.8 at 2^28 with 5, 3 at 5e10 with 9 (20, 56 and 220 grids)."""
+    return 3 if many <= 1 << 22 else 5 if many <= 1 << 28 else 9
+
+
+def linked(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, component) over links of the radius or less between the nodes of reps (fp long, rep long; fp unique); see `cells`."""
+    masks = grids(radius, groups_for(reps.count()))
+    own = reps.select("fp", F.col("rep").alias("node"))
+    at = own.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), embed(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("s"))
+    shared = at.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    table = common.materialise(at.join(shared, "s"), "cells")
 
+    def verify(pairs):
+        both = pairs.join(own.select(F.col("node").alias("u"), F.col("fp").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("fp").alias("y")), "v")
+        near = F.bit_count(embed(F.col("x")).bitwiseXOR(embed(F.col("y")))) <= radius
+        return both.where(near & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius))
 
-def links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs u > v of the nodes of reps (fp long, rep long; fp unique) within the radius, each once."""
-    cells = reps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), embed(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grids(radius))])).alias("at")).select("fp", "rep", "at.grid", "at.cell")
-    a, b = cells.alias("a"), cells.alias("b")
-    near = F.bit_count(embed(F.col("a.fp")).bitwiseXOR(embed(F.col("b.fp")))) <= radius
-    exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.grid") == F.col("b.grid")) & (F.col("a.rep") > F.col("b.rep")) & near & exact).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
+    return cells.components(table, verify)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
@@ -90,6 +105,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) ->
     reps = common.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     # one doc_id on rows of several texts: its fingerprints are one node
     same = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id").join(fps, "doc_id").join(reps.where("rep is not null"), "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = common.connected_components(links(reps.where("rep is not null"), radius).union(same))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    near = linked(reps.where("rep is not null"), radius)
+    if not same.isEmpty():
+        near = common.connected_components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(same))
+    classes = reps.join(near, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
