@@ -1,10 +1,10 @@
 """Components over candidate cells without making all pairs of a cell.
 
 A cell is a set of nodes among which every pair is a candidate. In each round every active cell, one with nodes of
-different components, picks one component by a hash and compares all its other nodes with one node of it: as many
-pairs as the cell has nodes. What is linked falls together, so a dense group of near copies costs one or two pairs a
-node. When a round leaves no more pairs of components than there are rows, or links nothing, all that is left is
-compared: pairs of different components in one cell that haven't been compared yet. No link is lost.
+different components, picks one component by a hash and one node of it as a partner for its other nodes, and each node is compared with
+one of the partners that its cells name: at most one pair a node. What is linked falls together, so a dense group of near copies costs one
+or two pairs a node. When about as many pairs of components are left as there are rows (FEW, after two rounds SOME times), or a round links nothing, all
+that is left is compared: pairs of different components in one cell that haven't been compared yet. No link is lost.
 """
 
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rounds by one node of a cell at most; what they leave is compared whole.
-ROUNDS = 6
+ROUNDS, FEW, SOME = 6, 2, 32
 
 
 def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -28,27 +28,32 @@ def components(cells: DataFrame, verify, candidates=None, known: DataFrame | Non
     cells has (s, node, and columns that candidates uses), verify takes distinct pairs (u, v) and gives those that are links, candidates takes
     aliases a, b of cells and gives a condition that all links of a cell fulfil, known has links (u, v) to begin with.
     """
-    pick = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "comp").alias("h"), "comp", "node"))
+    kept = [c for c in cells.columns if c not in ("s", "node")]
+    pick = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "comp").alias("h"), "comp", "node", *kept))
     links, labels, tried, left = known, None, None, None
     if known is not None:
         links = common.materialise(known.select("u", "v"), "links")
         labels = common.materialise(common.connected_components(links), "labels")
     for i in range(ROUNDS + 1):
         now = _labelled(cells, labels)
-        active = now.groupBy("s").agg(pick(i).alias("p"), F.approx_count_distinct("comp").alias("many")).join(now.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s"), "s")
+        kinds = now.groupBy("s", "comp").agg(F.count("*").alias("n"), pick(i).alias("p"))
+        active = kinds.groupBy("s").agg(F.min("p").alias("p"), F.sum("n").alias("n"), F.count("*").alias("many")).where("many > 1")
         active = common.materialise(active, "active")
-        size = active.agg(F.count("*"), F.sum(F.col("many") * F.col("many"))).first()
+        size = active.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") * (1 - 1 / F.col("many"))) / 2).first()
         if not size[0]:
             common.release(active)
             break
-        rest = i == ROUNDS or left == 0 or size[1] <= 4 * size[0]
+        rest = i == ROUNDS or left == 0 or size[1] <= (FEW if i < 2 else SOME) * size[0]
         if rest:
             mine = now.join(active.select("s"), "s", "left_semi")
             a, b = mine.alias("a"), mine.alias("b")
             fits = (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.node") > F.col("b.node"))
             pairs = a.join(b, fits & candidates("a", "b") if candidates else fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         else:
-            pairs = now.join(active, "s").where(F.col("comp") != F.col("p.comp")).select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v"))
+            a, b = now.alias("a"), active.select("s", "p.*").alias("b")
+            fits = (F.col("a.s") == F.col("b.s")) & (F.col("a.comp") != F.col("b.comp"))
+            named = a.join(b, fits & candidates("a", "b") if candidates else fits).select(F.col("a.node"), F.col("b.h"), F.col("b.node").alias("partner"))
+            pairs = named.groupBy("node").agg(F.min(F.struct("h", "partner")).alias("p")).select(F.greatest("node", "p.partner").alias("u"), F.least("node", "p.partner").alias("v"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")

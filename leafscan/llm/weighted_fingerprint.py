@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from . import common, order
 
 SAMPLES = 64
+#: Draws of one aggregate: more of them in one generated method wouldn't be compiled to machine code.
+BLOCK = 16
+#: ln of the weight of a term that a text doesn't have: its rank is never the least.
+ABSENT = -1e30
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -21,24 +25,31 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def rank(term: Column, log_weight: Column, i: int) -> Column:
-    """ln a of a term (long) of a weight, in draw i."""
-    x, y = F.xxhash64(F.lit(2 * i), term), F.xxhash64(F.lit(2 * i + 1), term)
+def rank(term: Column, log_weights: list[Column], i: Column) -> list[Column]:
+    """ln a of a term (long) of each of the weights, in draw i."""
+    x, y = F.xxhash64(i * 2, term), F.xxhash64(i * 2 + 1, term)
     r = -F.log(_uniform(x, 0, 20) * _uniform(x, 20, 20))
     c = -F.log(_uniform(y, 0, 30) * _uniform(y, 30, 30))
     b = _uniform(x, 40, 24)
-    return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1)
+    return [F.log(c) - r * (F.floor(w / r + b) - b + 1) for w in log_weights]
 
 
-def samples(texts: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
-    """keys and `s`, the n samples, 31-bit digests of the least ranks. texts has keys and `text`; a text without words has the empty term.
+def samples(texts: DataFrame, keys: list[str], kinds: list[str], n: int = SAMPLES) -> DataFrame:
+    """keys and a column of n samples for each of the kinds, columns with texts: 31-bit digests of the least ranks. A text without words has the empty term.
 
-    Nothing is shuffled where texts is already partitioned by some of the keys.
+    What a draw has of a term is computed once for all kinds. Nothing is shuffled where texts is already partitioned by some of the keys.
     """
-    words = texts.select(*keys, (~F.col("text").rlike(r"\S")).alias("_none"), F.explode(F.split(F.lower("text"), r"\s+")).alias("_w")).where((F.col("_w") != "") | F.col("_none"))
-    terms = words.groupBy(*keys, F.xxhash64("_w").alias("_t")).agg(F.log(F.count("*")).alias("_l"))
-    least = terms.groupBy(*keys).agg(*[F.min(rank(F.col("_t"), F.col("_l"), i)).alias(f"_s{i}") for i in range(n)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"_s{i}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for i in range(n)]).alias("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("text")) for i, k in enumerate(kinds)])).alias("_x")
+    words = texts.select(*keys, each).select(*keys, F.col("_x.kind").alias("_k"), (~F.col("_x.text").rlike(r"\S")).alias("_none"), F.explode(F.split(F.lower("_x.text"), r"\s+")).alias("_w")).where((F.col("_w") != "") | F.col("_none"))
+    counts = [F.coalesce(F.log(F.sum((F.col("_k") == i).cast("long"))), F.lit(ABSENT)).alias(f"_l{i}") for i in range(len(kinds))]
+    terms = words.groupBy(*keys, F.xxhash64("_w").alias("_t")).agg(*counts)
+    size = min(BLOCK, n)
+    blocks = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(size))).alias("_b"))
+    weights = [F.col(f"_l{i}") for i in range(len(kinds))]
+    least = blocks.groupBy(*keys, "_b").agg(*[F.min(x).alias(f"_s{i}_{d}") for d in range(size) for i, x in enumerate(rank(F.col("_t"), weights, F.col("_b") + d))])
+    digests = [F.array(*[F.xxhash64(f"_s{i}_{d}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for d in range(size)]).alias(k) for i, k in enumerate(kinds)]
+    joined = least.select(*keys, "_b", *digests).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", *kinds))).alias("_s"))
+    return joined.select(*keys, *[F.slice(F.flatten(F.col("_s")[k]), 1, n).alias(k) for k in kinds])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -55,7 +66,7 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint) of every distinct (doc_id, text); null texts count as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).dropDuplicates(["rid"])
-    return samples(rows, ["rid", "doc_id"], n).select("doc_id", text_form(F.col("s")).alias("fingerprint"))
+    return samples(rows, ["rid", "doc_id"], ["text"], n).select("doc_id", text_form(F.col("text")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
@@ -80,9 +91,7 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     whole = rows.select("rid", "text").dropDuplicates(["rid"])
     heads = whole.select(F.col("rid").alias("next"), "text").join(chain.hint("merge"), "next").select("rid", "k", F.left("text", "k").alias("head"))
     both = whole.join(heads.hint("merge"), "rid").withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("k")), "head"))
-    kinds = both.select("rid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("rid", "x.kind", "x.text")
-    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("s")))
-    signed = samples(kinds, ["rid", "kind"], n).groupBy("rid").agg(of(0).alias("own"), of(1).alias("edited"))
+    signed = samples(both, ["rid"], ["text", "edited"], n).withColumnsRenamed({"text": "own"})
     facts = both.select("rid", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     table = common.materialise(facts.join(signed, "rid"), "signed")
     nexts = table.join(chain.select("rid", "doc_id", "next"), "rid").join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")

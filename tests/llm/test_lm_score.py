@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -22,8 +23,7 @@ def corpus(n=300):
 SCHEMA = "doc_id long, text string, score string"
 
 
-def test_scores_are_normalised_and_prefer_what_fits(spark, monkeypatch):
-    monkeypatch.setattr(L, "STRIDE", 1)  # a small corpus needs all of its words
+def test_scores_are_normalised_and_prefer_what_fits(spark):
     docs = corpus(900)
     random.seed(6)
     for i in range(20):
@@ -37,46 +37,70 @@ def test_scores_are_normalised_and_prefer_what_fits(spark, monkeypatch):
     assert all(abs(got[i].log_likelihood - got[i].score * got[i].n_tokens) < 1e-6 for i in range(20))
 
 
+def model(of, share=None):
+    """Numbers below len(of) in the given classes."""
+    many = L.VOCABULARY - len(of)
+    return L.Model([f"w{i}" for i in range(len(of))], np.r_[of, np.zeros(many, int)], np.r_[np.zeros(len(of)) if share is None else share, np.zeros(many)], np.ones(L.OUTPUTS), np.zeros(L.CELLS, np.float32))
+
+
 def test_masked_sum_equals_a_loop():
     rng = np.random.default_rng(3)
     w = L.start_weights(rng.normal(0, 1, L.OUTPUTS))
-    of = np.r_[rng.integers(0, L.OUTPUTS, 50), L.PAD].astype(np.int32)
-    share = np.zeros(50)
+    of = rng.integers(0, L.CLASSES, 50)
+    m = model(of, -rng.random(50))
     vocab = L.Vocabulary({f"w{i}": i for i in range(50)})
-    ids, sizes = L._ids(["w1 w2 w3", "", "w4"], vocab)
-    got = L.score_ids(ids, w, of, share)
+    ids, sizes = L._ids(["w1 w2 w3 rare!", "", "w4"], vocab)
+    got = L.score_ids(ids, w, m)
     tables, out, bias = L._parts(w.astype(float))
     want = []
     for at in np.flatnonzero(ids >= 0):
-        h = np.tanh(sum(tables[k][of[ids[at + o]]] for k, o in enumerate((-2, -1, 1, 2))))
+        h = np.tanh(sum(tables[k][m.rows(ids)[at + o]] for k, o in enumerate((-2, -1, 1, 2))))
         z = h @ out + bias
-        want.append(z[of[ids[at]]] - np.log(np.exp(z).sum()))
-    assert sizes.tolist() == [3, 0, 1] and np.allclose(got, want, atol=1e-3)
-    # a probability of all words that could stand there
-    every = [L.score_ids(np.where(np.arange(len(ids)) == 3, k, ids), w, np.arange(L.OUTPUTS + 1, dtype=np.int32), np.zeros(L.OUTPUTS))[1] for k in range(L.OUTPUTS)]
+        i = ids[at]
+        want.append(z[of[i] if i < 50 else L.CLASSES + 3] - np.log(np.exp(z).sum()) + (m.share[i] if i < 50 else 0))
+    assert sizes.tolist() == [4, 0, 1] and np.allclose(got, want, atol=1e-3)
+    # a probability of all classes that could stand there
+    m = model(np.arange(L.CLASSES))
+    every = [L.score_ids(np.where(np.arange(len(ids)) == 3, k, ids), w, m)[1] for k in [*range(L.CLASSES), *(L.VOCABULARY + (s << L.BITS) for s in range(L.SHAPES))]]
     assert abs(np.exp(every).sum() - 1) < 1e-3
 
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
-    classes = np.r_[[L.PAD] * 2, np.tile(np.arange(10), 800), [L.PAD] * 2].astype(np.int32)
-    w = L.start_weights(np.zeros(L.OUTPUTS))
-    at = np.arange(2, len(classes) - 2)
-    ids = classes.copy()
-    ids[[0, 1, -1, -2]] = -1
-    of, share = np.arange(L.OUTPUTS + 1, dtype=np.int32), np.zeros(L.OUTPUTS)
-    before = L.score_ids(ids, w, of, share).mean()
-    L.learn(w, classes, rng.permutation(at), [])
-    assert L.score_ids(ids, w, of, share).mean() > before + 2
-
-
-def test_every_word_is_learnt_from(spark, monkeypatch):
+    ids = np.r_[[-1] * 2, np.tile(np.arange(10), 800), [-1] * 2].astype(np.int32)
+    m, w = model(np.arange(10)), L.start_weights(np.zeros(L.OUTPUTS))
+    before = L.score_ids(ids, w, m).mean()
+    L.learn(w, m.rows(ids), m.classes(ids), rng.permutation(np.arange(2, len(ids) - 2)), [])
+    assert L.score_ids(ids, w, m).mean() > before + 2
+
+
+def test_counts_equal_brute_force(spark, monkeypatch):
+    """Shares of all words, in the vocabulary and outside it."""
+    texts = ["a b c a", "b zz\u00a0yy a", None, "a b c d-1 d-1 rare"]
+    monkeypatch.setattr(L, "VOCABULARY", 2)
+    m = L.vocabulary(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA))
+    n = Counter(w for t in texts for w in (t or "").lower().split())
+    assert m.words == ["a", "b"]
+    rare = {w: k for w, k in n.items() if w not in m.words}
+    for w, k in rare.items():
+        code = L._code(w) - 2
+        shape, cell = code >> L.BITS, code & (L.CELLS - 1)
+        assert abs(m.cells[cell] - np.log(k)) < 1e-3 and m.mass[L.CLASSES + shape] == sum(j for v, j in rare.items() if L._shape(v) == shape)
+
+
+def test_every_word_is_learnt_from_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 5000)
+    rows = corpus(60)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    m = L.vocabulary(docs)
     tables, keep = [], L.common.materialise
-    docs = spark.createDataFrame(corpus(60), SCHEMA)
-    words, cls, _, bias = L.vocabulary(docs)
-    monkeypatch.setattr(L.common, "materialise", lambda df, tag: tables.append(keep(df, tag)) or tables[-1])
-    L.train(docs, words, cls, bias)
-    assert tables[0].agg({"n": "sum"}).first()[0] == sum(len(t.split()) for _, t, _ in corpus(60))
+    with monkeypatch.context() as patch:
+        patch.setattr(L.common, "materialise", lambda df, tag: tables.append(keep(df, tag)) or tables[-1])
+        L.train(docs, m)
+    learnt = tables[0].where("w is not null").agg({"n": "sum", "shard": "max"}).first()
+    assert learnt["sum(n)"] == sum(len(t.split()) for _, t, _ in rows) and learnt["max(shard)"] > 1
+    one, many = ({r.doc_id: r.score for r in L.score(docs.repartition(k)).collect()} for k in (1, 7))
+    assert max(abs(one[d] - many[d]) for d in one) < 1e-5
 
 
 def test_odd_rows(spark):
