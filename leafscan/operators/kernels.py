@@ -186,17 +186,44 @@ def tiles(line: np.ndarray, height: int = 160, width: int = 1024) -> list[tuple[
     return out
 
 
-def _bilinear(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    def axis(n, m):
-        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, n - 1), at - low
+def _cubic(x):
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0))
+
+
+#: Kernels and their reach; but for bilinear, which takes two neighbours at any scale, they widen where an image shrinks.
+_KERNELS = {
+    "bilinear": (lambda x: np.maximum(0, 1 - np.abs(x)), 1),
+    "triangle": (lambda x: np.maximum(0, 1 - np.abs(x)), 1),
+    "bicubic": (_cubic, 2),
+    "lanczos3": (lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0), 3),
+}
 
-    y0, y1, fy = axis(image.shape[0], height)
-    x0, x1, fx = axis(image.shape[1], width)
-    g = image.astype(float)
-    rows = g[y0] * (1 - fy)[:, None] + g[y1] * fy[:, None]
-    return np.clip(np.floor(rows[:, x0] * (1 - fx) + rows[:, x1] * fx + 0.5), 0, 255)
+
+def resize(image: np.ndarray, width: int, height: int, how: str = "bilinear") -> np.ndarray:
+    """The image as floats of 0 to 255; bilinear keeps fractions, the others give whole levels."""
+    if how not in _KERNELS:
+        raise ContractError(f"no such way of resampling: {how}")
+    kernel, reach = _KERNELS[how]
+
+    def axis(n, m):
+        scale = n / m
+        wide = 1.0 if how == "bilinear" else max(1.0, scale)
+        centre = (np.arange(m) + 0.5) * scale - 0.5
+        at = np.floor(centre - reach * wide).astype(int)[:, None] + np.arange(int(2 * reach * wide) + 2)
+        w = kernel((at - centre[:, None]) / wide)
+        if how != "bilinear":  # what lies outside has no weight; bilinear repeats the border
+            w = np.where((at >= 0) & (at < n), w, 0)
+        return np.clip(at, 0, n - 1), w / w.sum(1, keepdims=True)
+
+    (ys, wy), (xs, wx) = axis(image.shape[0], height), axis(image.shape[1], width)
+    rows = np.zeros((height, image.shape[1]))
+    for k in range(ys.shape[1]):
+        rows += image[ys[:, k]] * wy[:, k, None]
+    out = np.zeros((height, width))
+    for k in range(xs.shape[1]):
+        out += rows[:, xs[:, k]] * wx[:, k]
+    return np.clip(out if how == "bilinear" else np.floor(out + 0.5), 0, 255)
 
 
 def preprocess(crop: np.ndarray, dialect: Dialect) -> np.ndarray | None:
@@ -212,5 +239,5 @@ def preprocess(crop: np.ndarray, dialect: Dialect) -> np.ndarray | None:
     target = max(dialect.min_width, target)
     canvas = np.full((dialect.height, dialect.width), 255.0)
     if target:
-        canvas[:, :target] = _bilinear(page, target, dialect.height)
+        canvas[:, :target] = resize(page, target, dialect.height, dialect.resample)
     return (canvas / 127.5 - 1).astype(np.float32)[None, None]

@@ -44,6 +44,12 @@ def textgrid(spark, sf_dir) -> DataFrame:
     return d.select("page", "y", F.length(F.replace("line", F.lit(" "), F.lit(""))).cast("long").alias("ink"), F.length("line").alias("width"))
 
 
+def digitgrid(spark, sf_dir) -> DataFrame:
+    """(page, y, ink): as textgrid, but only digits are ink, so that most pages are blank."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("y", "line"))
+    return d.select("page", "y", F.length(F.regexp_replace("line", "[^0-9]", "")).cast("long").alias("ink"))
+
+
 def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), "text")
 
@@ -71,6 +77,7 @@ TWINS = {
     "prof": """seen AS (SELECT event_type AS page, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600)::INT AS y, count(*) AS ink FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1, 2),
 dense AS (SELECT page, unnest(range(max(y) + 1))::INT AS y FROM seen GROUP BY page),
 prof AS (SELECT d.page, d.y, coalesce(s.ink, 0)::BIGINT AS ink FROM dense d LEFT JOIN seen s ON d.page = s.page AND d.y = s.y)""",
+    "digitgrid": "digitgrid AS (SELECT page, (i - 1)::INT AS y, length(regexp_replace(line, '[^0-9]', '', 'g'))::BIGINT AS ink FROM (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))",
     "textgrid": "textgrid AS (SELECT page, (i - 1)::INT AS y, length(replace(line, ' ', ''))::BIGINT AS ink, length(line)::INT AS width FROM (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))",
     "lines": "lines AS (SELECT conv_id AS page, turn AS line_no, text FROM conversations)",
     "pairs": "pairs AS (SELECT a.item_id, a.text AS pred, b.text AS truth FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text))",

@@ -58,9 +58,9 @@ def charset_index(spark, sf_dir):
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' AND strpos(' abcdefghijklmnopqrstuvwxyz', ch) = 0 GROUP BY ch")
 def charset_oov(spark, sf_dir):
-    chars = A.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    known = charset.table(spark, " abcdefghijklmnopqrstuvwxyz").select("ch")
-    return chars.groupBy("ch").agg(F.count("*").alias("n")).join(F.broadcast(known), "ch", "left_anti")
+    left = F.translate("text", " abcdefghijklmnopqrstuvwxyz", "")  # only what the charset lacks becomes rows
+    chars = A.table(spark, sf_dir, "documents").select(F.explode(F.split(left, "")).alias("ch")).where("ch <> ''")
+    return chars.groupBy("ch").agg(F.count("*").alias("n"))
 
 
 # profile to lines
@@ -158,12 +158,12 @@ def text_profile(spark, sf_dir):
     return A.textgrid(spark, sf_dir)
 
 
-_EMPTY = _with("textgrid") + ", bands AS (SELECT page, count(*) FILTER (WHERE ink > 0) AS inked FROM textgrid GROUP BY page) SELECT page FROM bands WHERE inked = 0"
+_EMPTY = _with("digitgrid") + ", bands AS (SELECT page, count(*) FILTER (WHERE ink > 0) AS inked FROM digitgrid GROUP BY page) SELECT page FROM bands WHERE inked = 0"
 
 
 @query(_EMPTY)
 def empty_pages(spark, sf_dir):
-    rows = A.textgrid(spark, sf_dir)
+    rows = A.digitgrid(spark, sf_dir)
     return segment.threshold(segment.smooth(rows, 1, "visited")).where("t is null").select("page")
 
 

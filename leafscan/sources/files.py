@@ -66,19 +66,28 @@ def orientation(contents: pd.Series) -> pd.Series:
 def pages(files: DataFrame) -> DataFrame:
     """files (path, content) as pages (path, page_no, width, height, grey, error)."""
     keep = ["path", *(["page_no"] if "page_no" in files.columns else [])]
-    out = files.select(*keep, _decode("content").alias("p")).select(*keep, "p.*")
+    failed = F.col("_failed") if "error" in files.columns else F.lit(None).cast("string")
+    given = files.withColumnRenamed("error", "_failed") if "error" in files.columns else files
+    out = given.select("*", _decode("content").alias("p")).select(*keep, "p.width", "p.height", "p.grey", F.coalesce(failed, "p.error").alias("error"))
     return out if "page_no" in files.columns else out.withColumn("page_no", F.lit(1))
 
 
-def has_pdf_tool() -> bool:
-    return shutil.which("pdftoppm") is not None
+def has_pdf_tool(tool: str = "pdftoppm") -> bool:
+    return shutil.which(tool) is not None
 
 
-def pdf_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
-    """(path, page_no, content) of PDF files (path, content): rasterised by pdftoppm on the executors, a row a page in order."""
+def pdf_pages(files: DataFrame, dpi: int = 300, tool: str = "pdftoppm", timeout: float = 600) -> DataFrame:
+    """(path, page_no, content, error) of PDF files (path, content): rasterised by pdftoppm on the executors, a row a page in order.
+
+    A file that the tool rejects, that has no page, or that takes longer than timeout seconds is one row with an error. Without
+    the tool the job ends with a ContractError, as no file could be read.
+    """
+
+    def row(path, number, content, error):
+        return pd.DataFrame({"path": [path], "page_no": [number], "content": [content], "error": [error]})
 
     def run(batches):
-        if not has_pdf_tool():
+        if not has_pdf_tool(tool):
             raise ContractError("pdftoppm isn't installed on an executor")
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
@@ -86,15 +95,20 @@ def pdf_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
                     source = os.path.join(folder, "in.pdf")  # an absolute path is never taken for an option
                     with open(source, "wb") as f:
                         f.write(content)
-                    subprocess.run(["pdftoppm", "-png", "-r", str(dpi), source, os.path.join(folder, "page")], check=True, capture_output=True)
+                    try:
+                        subprocess.run([tool, "-png", "-r", str(dpi), source, os.path.join(folder, "page")], check=True, capture_output=True, timeout=timeout)
+                    except (subprocess.CalledProcessError, subprocess.TimeoutExpired) as e:
+                        said = (e.stderr or b"").decode("utf-8", "replace").strip()
+                        yield row(path, 1, None, f"PDF: {said or e}")
+                        continue
                     names = sorted((n for n in os.listdir(folder) if n.endswith(".png")), key=page_number)
                     if not names:
-                        raise ContractError(f"no page came from {path}")
+                        yield row(path, 1, None, "PDF: it has no page")
                     for name in names:
                         with open(os.path.join(folder, name), "rb") as f:
-                            yield pd.DataFrame({"path": [path], "page_no": [page_number(name)], "content": [f.read()]})
+                            yield row(path, page_number(name), f.read(), None)
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_no int, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, content binary, error string")
 
 
 def page_number(name: str) -> int:
@@ -107,8 +121,8 @@ def read_charset(spark: SparkSession, path: str) -> str:
 
 
 def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of a file of name<TAB>text; lines without a tab, or more than one field after it, are left out."""
-    parts = F.split("value", "\t")
+    """(name, text) of a file of name<TAB>text; lines without a tab are left out, a text may hold further tabs."""
+    parts = F.split("value", "\t", 2)
     return spark.read.text(path).where(F.size(parts) == 2).select(parts[0].alias("name"), parts[1].alias("text"))
 
 

@@ -159,3 +159,19 @@ def test_ratio_must_make_sense():
     for bad in (0, -1, float("inf"), float("nan")):
         with pytest.raises(ContractError):
             Dialect(ratio=bad)
+
+
+def test_resampling():
+    g = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
+    for how in ("bilinear", "triangle", "bicubic", "lanczos3"):
+        assert np.allclose(K.resize(g, 4, 3, how), g)
+        assert np.allclose(K.resize(np.full((7, 9), 77, np.uint8), 5, 20, how), 77)
+    edge = np.array([[0, 100]], np.uint8)
+    assert np.allclose(K.resize(edge, 4, 1), [[0, 25, 75, 100]])  # fractions stay: 0.25 of 101 is 25.25
+    assert np.allclose(K.resize(np.array([[0, 101]], np.uint8), 4, 1), [[0, 25.25, 75.75, 101]])
+    assert np.allclose(K.resize(np.array([[0, 101]], np.uint8), 4, 1, "triangle"), [[0, 25, 76, 101]])
+    stripes = np.tile(np.array([0, 200], np.uint8), 20)[None]
+    assert (K.resize(stripes, 5, 1, "triangle")[0, 1:-1] == 100).all() and set(K.resize(stripes, 5, 1)[0]) <= {100.0}
+    assert K.resize(np.array([[0, 0, 200, 200]], np.uint8), 8, 1, "lanczos3").max() > 205
+    with pytest.raises(ContractError):
+        K.resize(g, 4, 3, "nearest")

@@ -1,4 +1,5 @@
 import struct
+import sys
 
 import numpy as np
 import pytest
@@ -98,7 +99,7 @@ def test_listing_and_bad_files(spark, tmp_path):
 
 def test_labels_charset_and_artifact(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a\tone two\nbroken\nb\t\nc\tx\ty\n")
-    assert {(r.name, r.text) for r in files.labelled_lines(spark, str(tmp_path / "l.txt")).collect()} == {("a", "one two"), ("b", "")}
+    assert {(r.name, r.text) for r in files.labelled_lines(spark, str(tmp_path / "l.txt")).collect()} == {("a", "one two"), ("b", ""), ("c", "x\ty")}
     (tmp_path / "c.txt").write_text(" abc\r\n")
     assert files.read_charset(spark, str(tmp_path / "c.txt")) == " abc"
     import hashlib
@@ -112,5 +113,19 @@ def test_labels_charset_and_artifact(spark, tmp_path):
 
 def test_pdf_pages(spark, tmp_path):
     assert files.page_number("page-010.png") == 10 and sorted(["p-10.png", "p-2.png"], key=files.page_number)[0] == "p-2.png"
-    if not files.has_pdf_tool():
-        pytest.skip("pdftoppm isn't installed")
+    # a stand-in for the tool: as many pages as the file has letters p
+    tool = tmp_path / "rasterise"
+    (tmp_path / "p.png").write_bytes(png.encode(upright()))
+    tool.write_text(f"""#!{sys.executable}
+import shutil, sys
+data = open(sys.argv[-2], "rb").read()
+if data.startswith(b"bad"):
+    sys.exit("no PDF")
+for i in range(data.count(b"p")):
+    shutil.copy({str(tmp_path / "p.png")!r}, f"{{sys.argv[-1]}}-{{i + 1:02}}.png")
+""")
+    tool.chmod(0o755)
+    pdf = spark.createDataFrame([("a.pdf", b"ppp"), ("b.pdf", b"bad"), ("c.pdf", b"-")], "path string, content binary")
+    got = sorted(files.pages(files.pdf_pages(pdf, tool=str(tool))).collect(), key=lambda r: (r.path, r.page_no))
+    assert [(r.path, r.page_no, r.width) for r in got] == [("a.pdf", 1, 64), ("a.pdf", 2, 64), ("a.pdf", 3, 64), ("b.pdf", 1, None), ("c.pdf", 1, None)]
+    assert [r.error for r in got] == [None, None, None, "PDF: no PDF", "PDF: it has no page"]
