@@ -7,8 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What str.split() cuts at, as a regular expression of Java's.
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: A side is broadcast only if its files, or its counted rows, are below this.
 BROADCAST_BYTES = 64 << 20
 
@@ -17,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (unset: one machine, as in tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="leafscan-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -101,6 +101,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each lower-cased word occurs in all of docs; white space is what Python's str.split takes for it."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), SPACE)).alias("w")).where("w <> ''")
+    """(w, n): how often each lower-cased word occurs in all of docs; words end at white space of ASCII, as in Python's bytes.split."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("w")).where("w <> ''")
     return words.groupBy("w").agg(F.count("*").alias("n"))

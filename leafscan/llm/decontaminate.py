@@ -17,8 +17,6 @@ from . import common
 
 SHINGLE, THRESHOLD, BLOCK_RADIUS = 5, 0.8, 2
 RADIUS = 8 * (BLOCK_RADIUS + 1) - 1
-#: Benchmark shingles up to this many are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _LANES = 0x0001000100010001
 
@@ -79,20 +77,22 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     items = common.materialise(items.select("item_id", F.size("w").alias("n"), "w", F.xxhash64("w").alias("iid")), "items")
     shingles = _explode_shingles(items, "w", "item_id", "iid", "n")
     known = common.materialise(shingles.groupBy("s", "n").agg(F.count("*").alias("c")).drop("c"), "known")
-    small = known.count() <= BROADCAST_ROWS
-    hinted = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    # what is broadcast is judged by its own size: distinct shingles, the index (1 + 8 + 28 values a block, eight blocks), sets
+    many = items.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    sizes = {"known": known.count() * 32, "index": many["items"] * 8 * 37 * 48, "sets": many["items"] * 64 + many["words"] * 32}
+    hinted = lambda df, what: F.broadcast(df) if sizes[what] <= common.BROADCAST_BYTES else df
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
     cut_up = rows.select("rid", words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-    hits = _explode_shingles(cut_up, "w", "rid", "size").join(hinted(known), "s").select("rid", "size", "n", "pos")
+    hits = _explode_shingles(cut_up, "w", "rid", "size").join(hinted(known, "known"), "s").select("rid", "size", "n", "pos")
     last = F.greatest(F.lit(0), F.col("size") - F.col("n"))
     starts = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("pos") - F.col("n") + SHINGLE)), F.least(last, F.col("pos")))
     windows = hits.select("rid", "n", F.explode(starts).alias("start")).distinct()
     spots = common.materialise(windows.groupBy("rid").agg(F.collect_list(F.struct("n", "start")).alias("spots")), "spots")
 
     # texts are shuffled, not their words, which take twice the room; and by the same plan at every size
-    held = rows.join(spots.hint("merge"), "rid").dropDuplicates(["rid"]).withColumn("w", words(F.col("text")))
+    held = rows.join(spots.hint("merge"), "rid").dropDuplicates(["rid", "doc_id"]).withColumn("w", words(F.col("text")))
     cut = held.select("rid", "doc_id", "w", F.explode("spots").alias("x")).select("rid", "doc_id", F.col("x.n").alias("n"), F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
     keys = ["rid", "doc_id", "n", "start"]
     prints = common.materialise(_simhashes(_explode_shingles(cut, "w", *keys), keys), "windows")
@@ -104,9 +104,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     index = index.select("item_id", "n", "ifp", "b.block", F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(f)) for f in flips])).alias("value"))
     probes = prints.select("rid", "n", "start", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(8)])).alias("b")).select("rid", "n", "start", "fp", "b.block", "b.value")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    near = probes.join(hinted(index), ["n", "block", "value"]).where(distance <= RADIUS).select("rid", "n", "start", "item_id", distance.alias("hamming")).distinct()
+    near = probes.join(hinted(index, "index"), ["n", "block", "value"]).where(distance <= RADIUS).select("rid", "n", "start", "item_id", distance.alias("hamming")).distinct()
 
-    pairs = near.join(prints.select("rid", "doc_id", "n", "start", "set"), ["rid", "n", "start"]).join(hinted(item_prints.select("item_id", "n", F.col("set").alias("iset"))), ["item_id", "n"])
+    pairs = near.join(prints.select("rid", "doc_id", "n", "start", "set"), ["rid", "n", "start"]).join(hinted(item_prints.select("item_id", "n", F.col("set").alias("iset")), "sets"), ["item_id", "n"])
     shared = _weight(F.array_intersect("set", "iset"))
     scored = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (_weight(F.col("set")) + _weight(F.col("iset")) - F.col("shared"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), "n", "hamming")).alias("m")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-VOCABULARY, CLASSES, HIDDEN, BATCH = 8192, 240, 24, 128
-LARGE, EARLY = 1024, 256  # words of a batch after so many batches of BATCH
+VOCABULARY, CLASSES, HIDDEN, BATCH = 8192, 86, 16, 128
+LARGE, EARLY = 2048, 256  # words of a batch after so many batches of BATCH
 SHAPES = 10  # classes of words outside the vocabulary, by length and by whether they are all letters
 OUTPUTS = CLASSES + SHAPES
 BITS = 22
@@ -46,12 +46,12 @@ def _code(w: str) -> int:
 
 
 class Vocabulary(dict):
-    """Word to number."""
+    """Word, as UTF-8, to number."""
 
     room = REMEMBERED
 
     def __missing__(self, w):
-        code = _code(w)
+        code = _code(w.decode("utf-8", "replace"))
         if self.room:
             self.room -= 1
             self[w] = code
@@ -117,11 +117,11 @@ def vocabulary(docs: DataFrame) -> Model:
 
 
 def _ids(texts, vocab) -> tuple[np.ndarray, np.ndarray]:
-    """All words' numbers with two pads (-1) around each text, and each text's number of words."""
+    """All words' numbers with two pads (-1) around each text, and each text's number of words. Words end at what Java's \\s takes for white space, as bytes.split does."""
     out, sizes = [[-1, -1]], []
     get = vocab.__getitem__
     for t in texts:
-        ids = list(map(get, (t or "").lower().split()))
+        ids = list(map(get, (t or "").lower().encode("utf-8", "replace").split()))
         sizes.append(len(ids))
         out.append(ids)
         out.append([-1, -1])
@@ -151,6 +151,8 @@ def learn(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, at: np.ndarray,
     if not state:
         state.extend([np.full((4, ROWS + 1), 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(bias.shape, 1e-8, np.float32), 0])
     seen, seen_out, seen_bias, _ = state
+    seen, flat = seen.reshape(-1), tables.reshape(-1, HIDDEN)
+    place, ones = (np.arange(4) * (ROWS + 1))[:, None], np.ones(OUTPUTS, np.float32)
     b = 0
     while b < len(at):
         p = at[b : b + (BATCH if state[3] < EARLY else LARGE)]
@@ -161,7 +163,7 @@ def learn(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, at: np.ndarray,
         logits += bias
         np.clip(logits, -60, 60, out=logits)
         np.exp(logits, out=logits)
-        logits *= (np.float32(1 / len(p)) / (logits @ np.ones(OUTPUTS, np.float32)))[:, None]
+        logits *= (np.float32(1 / len(p)) / (logits @ ones))[:, None]
         logits[np.arange(len(p)), target] -= np.float32(1 / len(p))
         dh = (logits @ out.T) * (1 - h * h)
         g = h.T @ logits
@@ -170,13 +172,13 @@ def learn(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, at: np.ndarray,
         g = logits.sum(0)
         seen_bias += g * g
         bias -= 0.5 * rate * g / np.sqrt(seen_bias)
-        for i in range(4):
-            order = np.argsort(around[i], kind="stable")
-            own = around[i][order]
-            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            own, g = own[edge], np.add.reduceat(dh[order], edge)
-            seen[i, own] += np.einsum("ij,ij->i", g, g) / HIDDEN
-            tables[i, own] -= g * (rate / np.sqrt(seen[i, own]))[:, None]
+        own = (np.array(around) + place).ravel()  # all four places at once
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        own, g = own[edge], np.add.reduceat(dh[order % len(p)], edge)
+        seen[own] += np.einsum("ij,ij->i", g, g) / HIDDEN
+        flat[own] -= g * (rate / np.sqrt(seen[own]))[:, None]
         state[3] += 1
 
 
@@ -188,7 +190,7 @@ def train(docs: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches):
         model, first = shared.value
-        vocab = Vocabulary(zip(model.words, range(len(model.words))))
+        vocab = Vocabulary(zip([w.encode() for w in model.words], range(len(model.words))))
         w, state, n = first.copy(), [], 0
         for doc_ids, texts in common.in_chunks(batches, ["doc_id", "text"], 8 << 20):
             ids, sizes = _ids(texts, vocab)

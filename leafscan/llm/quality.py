@@ -95,11 +95,11 @@ def _concentration(level: DataFrame, mean: str) -> float:
     rate = F.col("s") / F.col("n")
     spread = F.sum(F.col("n") * (rate - F.col(mean)) ** 2)
     noise = F.sum(F.col(mean) * (1 - F.col(mean)))
-    row = level.where("n >= 2").agg(spread.alias("spread"), noise.alias("noise"), F.sum("n").alias("n")).first()
+    row = level.where("n >= 2").agg(spread.alias("spread"), noise.alias("noise"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
     if not row.n or row.spread <= row.noise * 1.0001:
         return 1e6
     between = (row.spread - row.noise) / row.n
-    return float(min(1e6, max(1.0, row.noise / max(1, level.count()) / between)))
+    return float(min(1e6, max(1.0, row.noise / row.k / between)))
 
 
 class Model:
@@ -156,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, with docs' columns. Only site posteriors are joined to the texts."""
+    """The rows of docs that classify() keeps, with docs' columns; repeated rows are judged alike. Only site posteriors are joined to the texts."""
     model = Model(docs, labels)
     common.release(model.rows)
     rows = docs.select(*docs.columns, *_site(docs), _features(F.col("text").cast("string")).alias("_q_f"))

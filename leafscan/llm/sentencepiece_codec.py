@@ -137,6 +137,8 @@ class Codec:
     def __init__(self, path: str):
         self.model, self.library = MergeModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
         self.new, self.old, self.mismatches = {}, {}, 0
+        self.disagreed: set[str] = set()
+        self.of_last: list[int] = []
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.library.bos_id(), self.library.eos_id()))
 
     def _learn(self, cuts: list[str]) -> None:
@@ -155,6 +157,7 @@ class Codec:
                 b = a  # an empty text gets no prefix, so the library can't be asked
             if a != b:
                 self.mismatches += 1
+                self.disagreed.add(c)
             self.new[c] = np.array(b, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -173,6 +176,7 @@ class Codec:
             self._learn(list(missing))
             known = self.new if self.new is new else {**{k: new[k] for c in cuts for k in c if k in new}, **self.new}
         get = known.__getitem__
+        self.of_last = [sum(map(self.disagreed.__contains__, c)) for c in cuts] if self.disagreed else [0] * len(cuts)
         return [self.begin + b"".join(map(get, c)) + self.end for c in cuts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -190,7 +194,8 @@ def encode_decode(docs: DataFrame, model: str | None = None, digest: bool = Fals
     """(doc_id, ids array<int>, decoded) of every row; with digest, what op6 returns in their place.
 
     Whole texts, begin and end ids, no sampling. Null and empty texts are the begin and end ids alone and decode
-    to an empty text. Repeated rows are kept, other columns ignored; an empty table gives no rows. model is a
+    to an empty text. n_disagreed (with digest) counts a text's cuts that the agenda and the library encode differently; the
+    library's ids are given for them. Repeated rows are kept, other columns ignored; an empty table gives no rows. model is a
     path that every executor can read.
     """
     path = model or default_model()
@@ -203,11 +208,11 @@ def encode_decode(docs: DataFrame, model: str | None = None, digest: bool = Fals
             first = pa.array(doc_ids, pa.int64())
             if digest:
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-                cols = [first, pa.array([len(b) // 4 for b in ids], pa.int64()), sha(ids), sha([t.encode("utf-8", "surrogatepass") for t in decoded])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = [first, pa.array([len(b) // 4 for b in ids], pa.int64()), sha(ids), sha([t.encode("utf-8", "surrogatepass") for t in decoded]), pa.array(codec.of_last, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_disagreed"])
             else:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([first, lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_disagreed long" if digest else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)

@@ -48,7 +48,7 @@ def test_masked_sum_equals_a_loop():
     w = L.start_weights(rng.normal(0, 1, L.OUTPUTS))
     of = rng.integers(0, L.CLASSES, 50)
     m = model(of, -rng.random(50))
-    vocab = L.Vocabulary({f"w{i}": i for i in range(50)})
+    vocab = L.Vocabulary({b"w%d" % i: i for i in range(50)})
     ids, sizes = L._ids(["w1 w2 w3 rare!", "", "w4"], vocab)
     got = L.score_ids(ids, w, m)
     tables, out, bias = L._parts(w.astype(float))
@@ -79,7 +79,7 @@ def test_counts_equal_brute_force(spark, monkeypatch):
     texts = ["a b c a", "b zz\u00a0yy a", None, "a b c d-1 d-1 rare"]
     monkeypatch.setattr(L, "VOCABULARY", 2)
     m = L.vocabulary(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA))
-    n = Counter(w for t in texts for w in (t or "").lower().split())
+    n = Counter(w.decode() for t in texts for w in (t or "").lower().encode().split())
     assert m.words == ["a", "b"]
     rare = {w: k for w, k in n.items() if w not in m.words}
     for w, k in rare.items():

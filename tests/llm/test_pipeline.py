@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as P
 from test_decontaminate import slow as leaks
 from test_line_dedup import slow as without_runs
-from test_simhash_neardup import slow as fingerprint
+from test_near_copies import near
 
 from leafscan.llm import quality, sentencepiece_codec
 
@@ -40,16 +40,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     good = {r.doc_id for r in quality.classify(spark.createDataFrame(docs, kinds), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("keep").collect()}
     assert not {i for i, t, *_ in docs if "%%%" in t} & good and len(good) > 100
     kept = {d: v[0] for d, v in without_runs([(d, t) for d, t, *_ in docs if d in good], 2).items()}
-    fps, stay = {d: fingerprint(t) for d, t in kept.items()}, []
-    label = {d: d for d in fps}
+    label = {d: d for d in kept}
     moved = True
     while moved:
         moved = False
-        for a in fps:
-            for b in fps:
-                if bin(fps[a] ^ fps[b]).count("1") <= 3 and label[a] > label[b]:
+        for a in kept:
+            for b in kept:
+                if label[a] > label[b] and near(kept[a], kept[b]):
                     label[a], moved = label[b], True
-    stay = [(d, kept[d]) for d in fps if label[d] == d]
+    stay = [(d, kept[d]) for d in kept if label[d] == d]
     bad = {d for d, _ in leaks(stay, items)}
     want = {d: t for d, t in stay if d not in bad}
     assert bad and len(stay) < len(kept)
@@ -60,10 +59,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     kinds = "doc_id long, text string, lang string, source string, n_chars long, rid string, w int"
-    docs = spark.createDataFrame([(1, None, None, None, None, "a", 1), (None, "", "en", "s", 0, "b", 2), (None, "x y z w v", "en", "s", 9, "c", 3), (None, "x y z w v", "en", "s", 9, "c", 3), (7, "x y z w v", "en", "s", 9, "d", 4), (7, "x y z w v", "en", "s", 9, "d", 4)], kinds)
+    docs = spark.createDataFrame([(1, None, None, None, None, "a", 1), (None, "", "en", "s", 0, "b", 2), (None, "x y z w v", "en", "s", 9, "c", 3), (None, "x y z w v", "en", "s", 9, "c", 3), (7, "x y z w v", "en", "s", 9, "d", 4), (7, "x y z w v", "en", "s", 9, "d", 4), (7, "another text of the id", "en", "s", 9, "e", 5)], kinds)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "p q r s t u")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
-        assert sorted(r.rid for r in out.collect()) == (["a", "d"] if name == "near dedup" else ["a", "b", "c", "c", "d", "d"]), name
+        assert sorted(r.rid for r in out.collect()) == (["a", "d", "e"] if name == "near dedup" else ["a", "b", "c", "c", "d", "d", "e"]), name
