@@ -61,6 +61,7 @@ def components(cells: DataFrame, verify, candidates=None, known: DataFrame | Non
         found = common.materialise(verify(pairs).select("u", "v"), "links")
         left = found.count()
         common.release(active)
+        common.drop_finished_shuffles(cells.sparkSession)
         tried = pairs if tried is None else tried.union(pairs)
         if left:
             links = found if links is None else links.union(found)
