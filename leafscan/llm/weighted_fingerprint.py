@@ -78,7 +78,7 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     document; those of equal doc_id and different texts follow each other in the order of a hash, null doc_ids
     last. A single document is its own next. Other columns are ignored; an empty table gives no rows.
 
-    The text is shuffled once, by a key of the row, and with it the beginnings of the next texts; counting terms,
+    The text is shuffled once, by a key of the row, and so are the beginnings of the next texts; counting terms,
     sampling and collecting samples reuse that partitioning.
     """
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -87,13 +87,15 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     placed, many = order.positions(ids, F.col("doc_id").desc_nulls_last(), F.col("rid"))
     after = placed.select(F.pmod(F.col("position") - 1, F.lit(max(1, many))).alias("position"), F.col("rid").alias("next"))
     chain = common.materialise(placed.join(after, "position").select("rid", "doc_id", "next", F.floor(F.col("n") / 3).cast("int").alias("k")), "chain")
-    # each use of the texts takes the same two columns, so that Spark shuffles them once
-    whole = rows.select("rid", "text").dropDuplicates(["rid"])
+    # each use of the texts takes the same two columns, so that Spark shuffles them once; dropDuplicates would become an
+    # aggregate with other ids in each use, and Spark would take the beginnings, which come after it, for different ones and shuffle them twice
+    whole = rows.groupBy("rid").agg(F.first("text").alias("text"))
     heads = whole.select(F.col("rid").alias("next"), "text").join(chain.hint("merge"), "next").select("rid", "k", F.left("text", "k").alias("head"))
     both = whole.join(heads.hint("merge"), "rid").withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("k")), "head"))
     signed = samples(both, ["rid"], ["text", "edited"], n).withColumnsRenamed({"text": "own"})
     facts = both.select("rid", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    table = common.materialise(facts.join(signed, "rid"), "signed")
+    # the short rows of the chain are shuffled to the samples here, so that these are shuffled for the last join only
+    table = common.materialise(facts.join(signed, "rid").join(chain.select("rid", "doc_id", "next").hint("merge"), "rid"), "signed")
     common.drop_finished_shuffles(docs.sparkSession)
-    nexts = table.join(chain.select("rid", "doc_id", "next"), "rid").join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")
+    nexts = table.join(table.select(F.col("rid").alias("next"), F.col("own").alias("other")), "next")
     return nexts.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 
 from leafscan.llm import weighted_fingerprint as S
 
@@ -54,3 +55,35 @@ def test_one_and_no_document(spark):
     one = S.edited_fingerprints(spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].doc_id is None
     assert S.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _stages(spark):
+    """{stage: bytes that it shuffled}."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+
+def _shuffled(spark, rows):
+    """Bytes shuffled while rows are fingerprinted, with no side small enough for a broadcast."""
+    docs, old = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = _stages(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(S.edited_fingerprints(docs).collect()) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return sum(n for k, n in _stages(spark).items() if k not in before)
+
+
+def test_texts_and_their_beginnings_are_shuffled_once(spark):
+    random.seed(5)
+    rows = [(i, " ".join("".join(random.choices(string.ascii_letters + string.digits, k=99)) for _ in range(500))) for i in range(60)]
+    assert 1.3 < _shuffled(spark, rows) / sum(len(t) for _, t in rows) < 1.5
+
+
+def test_samples_are_shuffled_once_as_own_and_once_as_next(spark):
+    # a row has 256 bytes of samples of its text, as many of the edited one and 64 of a digest; to the document before go the first 256
+    rows = [(i, f"a{i} b{i}") for i in range(2000)]
+    assert 3 * 256 < _shuffled(spark, rows) / len(rows) < 4.5 * 256
